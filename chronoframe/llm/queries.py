@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP3_SQL, op3_decontamination
 from .sharding import op2_sharding
+from .simhash import op8_simhash
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
+    "op8_simhash": op8_simhash,
 }
 ORACLE_SQL = {
     "op1_url_filter": OP1_SQL,
+    "op3_decontamination": OP3_SQL,
 }
