@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3_decontamination
+from .sentencepiece_codec import op5_sentencepiece
 from .sharding import op2_sharding
 from .simhash import op8_simhash
+from .token_files import op9_token_files
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
+    "op5_sentencepiece": op5_sentencepiece,
     "op8_simhash": op8_simhash,
+    "op9_token_files": op9_token_files,
 }
 ORACLE_SQL = {
     "op1_url_filter": OP1_SQL,
