@@ -31,7 +31,7 @@ from .common import fresh_path, table
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -49,6 +49,8 @@ def unpack(payload: bytes, bits: int, start: int, end: int) -> np.ndarray:
     """The ids from place start to end of a payload, reading only the bytes that hold them."""
     first = start * bits // 8
     raw = np.frombuffer(payload, np.uint8, -(-end * bits // 8) - first, first)
+    if bits in (8, 16, 32):
+        return raw.view(f">u{bits // 8}").astype(np.uint32)
     out = np.zeros((end - start, 4), np.uint8)
     if bits % 8 == 0:
         out[:, 4 - bits // 8 :] = raw.reshape(-1, bits // 8)
@@ -107,16 +109,23 @@ class WordEncoder:
         return self.words[m[1].lower()] + (self.words[m[2]] if m[2] else b"")
 
     def _learn(self, texts: list[list[str]]) -> None:
-        """Encodes the new words of some texts in one call; each ends with one end piece."""
-        new = {c for t in texts for c in t if c not in self.chunks and c not in self.chunks.old}
-        words = list({m[1].lower() for c in new if (m := self.SIMPLE.fullmatch(c))})
-        words = [w for w in words if w not in self.words and w not in self.words.old]
+        """Fills the caches for some texts, new words in few calls; each word ends with one end piece."""
+        seen: set[str] = set()
+        for t in texts:
+            seen.update(t)
+        chunks, old, match = self.chunks, self.chunks.old, self.SIMPLE.fullmatch
+        new = [(c, m[1].lower(), m[2]) for c in seen if c not in chunks and c not in old and (m := match(c))]
+        words = list({w for _, w, _ in new if w not in self.words and w not in self.words.old})
+        width = self.kind.itemsize
         for i in range(0, len(words), 2000):
             part = words[i : i + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
             if len(stops) == len(part):
-                self.words.update(zip(part, (x.tobytes() for x in np.split(ids, stops[:-1])), strict=True))
+                raw = ids.tobytes()
+                self.words.update(zip(part, (raw[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+        get = self.words.__getitem__
+        chunks.update((c, get(w) + get(tail) if tail else get(w)) for c, w, tail in new)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -164,17 +173,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
         for batch in batches:
             types = pa.list_(batch.column(0).type)
             for first, texts in _groups(batch.column(1)):
-                open_ids, open_counts, a = [], [], first
+                open_ids, open_counts, open_size, a = [], [], 0, first
                 for i, ids in enumerate(encoder.encode_batch(texts), first):
                     open_ids += [ids, np.array([end_id], encoder.kind)]
                     open_counts.append(len(ids) + 1)
-                    if sum(open_counts) >= block_ids or i == first + len(texts) - 1:
+                    open_size += len(ids) + 1
+                    if open_size >= block_ids or i == first + len(texts) - 1:
                         all_ids = np.concatenate(open_ids)
                         payload = pack(all_ids, encoder.bits)
                         columns = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([batch.column(0)[a : i + 1].to_pylist()], types), pa.array([open_counts], pa.list_(pa.int64())), pa.array([encoder.bits], pa.int32()), pa.array([payload], pa.binary())]
                         yield pa.RecordBatch.from_arrays(columns, names)
                         number, before = number + 1, before + len(all_ids)
-                        open_ids, open_counts, a = [], [], i + 1
+                        open_ids, open_counts, open_size, a = [], [], 0, i + 1
 
     ordered = docs.select("doc_id", "text").withColumn("_t", F.xxhash64("text")).repartitionByRange("doc_id", "_t").sortWithinPartitions("doc_id", "_t").drop("_t")
     ordered.mapInArrow(run, BLOCKS.format(id=id_type)).write.option("compression", "zstd").parquet(path)
@@ -185,7 +195,8 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.parquet(path)
     sizes = blocks.groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
     starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_s"))
-    return blocks.join(starts, "part").withColumn("start", F.col("before") + F.col("_s")).drop("_s", "before")
+    # one row for each partition that wrote: as many as the session's shuffle partitions at most
+    return blocks.join(F.broadcast(starts), "part").withColumn("start", F.col("before") + F.col("_s")).drop("_s", "before")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
