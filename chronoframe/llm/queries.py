@@ -7,6 +7,7 @@ from .sentencepiece_codec import op5_sentencepiece
 from .sharding import op2_sharding
 from .simhash import op8_simhash
 from .token_files import op9_token_files
+from .toxicity import op6_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
 }
