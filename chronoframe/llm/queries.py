@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3_decontamination
+from .flac import op7_flac_media
 from .sentencepiece_codec import op5_sentencepiece
 from .sharding import op2_sharding
 from .simhash import op8_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
+    "op7_flac_media": op7_flac_media,
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
 }
