@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP3_SQL, op3_decontamination
 from .flac import op7_flac_media
+from .html_extract import op4_html_extraction
 from .sentencepiece_codec import op5_sentencepiece
 from .sharding import op2_sharding
 from .simhash import op8_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
+    "op4_html_extraction": op4_html_extraction,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op7_flac_media": op7_flac_media,
