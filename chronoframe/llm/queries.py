@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP3_SQL, op3_decontamination
 from .flac import op7_flac_media
 from .html_extract import op4_html_extraction
+from .pii import op10_pii
 from .sentencepiece_codec import op5_sentencepiece
 from .sharding import op2_sharding
 from .simhash import op8_simhash
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_flac_media": op7_flac_media,
     "op8_simhash": op8_simhash,
     "op9_token_files": op9_token_files,
+    "op10_pii": op10_pii,
 }
 ORACLE_SQL = {
     "op1_url_filter": OP1_SQL,
