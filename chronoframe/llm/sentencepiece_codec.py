@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 from .token_files import Generations
@@ -199,7 +200,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
                 kept = [batch.column(batch.schema.get_field_index(c))[i : i + 500] for c in names]
                 yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(same)], [*names, "ids", "round_trip"])
 
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add("ids", "array<int>").add("round_trip", "boolean")
+    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
     return docs.select(*[F.col(f"`{c}`") for c in [*names, "text"]]).mapInArrow(run, schema)
 
 
