@@ -63,7 +63,7 @@ BINARY: dict[str, Callable[[Column, Column], Column]] = {
     "div": lambda a, b: F.when(b == 0, nan()).otherwise(a / F.when(b != 0, b)),
     "mod": lambda a, b: F.when(b == 0, nan()).otherwise(a % F.when(b != 0, b)),
     "mul": lambda a, b: a * b,
-    "pow": lambda a, b: F.pow(a, b),
+    "pow": lambda a, b: F.when((a == 1) | (b == 0), 1.0).otherwise(F.pow(a, b)),
     "sub": lambda a, b: a - b,
     "sum": lambda a, b: a + b,
     "min": lambda a, b: F.least(F.nanvl(a, b), F.nanvl(b, a)),
