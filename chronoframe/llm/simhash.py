@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, table
 
@@ -150,7 +151,7 @@ def _with_fingerprint(docs: DataFrame) -> DataFrame:
             fps = pa.array([_signed(fingerprint(t)) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "_fp"])
 
-    return docs.mapInArrow(run, docs.schema.add("_fp", "long") if "_fp" not in docs.columns else docs.schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
