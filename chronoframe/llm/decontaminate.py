@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small, table
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 _BITS = 22
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 #: A-Z to a-z; every ASCII character that is no letter or digit to a space.
@@ -182,7 +182,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     blocks = _blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             ids = batch.column(0)
             for first, rows in _shards(_texts(batch), shard_words):
                 n_hit, longest, items, _ = _search_shard(rows, blocks(), window)
@@ -200,7 +200,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     blocks = _blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             for first, rows in _shards(_texts(batch), shard_words):
                 found = _search_shard(rows, blocks(), window)[3]
                 at = pa.array([first + m[0] for m in found], pa.int64())
@@ -215,7 +215,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     blocks = _blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keep: list[bool] = []
             for _, rows in _shards(_texts(batch), shard_words):
                 n_hit = _search_shard(rows, blocks(), window)[0]

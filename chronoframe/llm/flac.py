@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small, table
 
 BLOCK = 4096
 RATE = 16_000
@@ -450,7 +450,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (a FLAC file of the padded text); a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2048):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for first, part in _groups(texts):
                 n = [len(t or b"") for t in texts[first : first + len(part)]]
@@ -463,7 +463,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     """One row for each block of each file: doc_id, block, first_sample, pcm (unsigned bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2048):
             for i in range(0, batch.num_rows, 256):
                 rows = [(i + j, k, first, pcm) for j, blocks in enumerate(decode_many(batch.column(1)[i : i + 256].to_pylist())) for k, (first, pcm) in enumerate(blocks)]
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
@@ -480,7 +480,7 @@ def media_digest(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2048):
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for first, part in _groups(texts):
                 files = encode_many(part)

@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small, table
 from .token_files import Generations
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
+CACHE_ENTRIES = 250_000
 
 
 class SentencePieceModel:
@@ -69,7 +70,7 @@ class SentencePieceModel:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.cache: Generations = Generations(self._segment_bytes)
+        self.cache: Generations = Generations(self._segment_bytes, CACHE_ENTRIES)
 
     def merge(self, text: str) -> list[int]:
         """Plain BPE: joins the neighbours of the best score, the leftmost first. Unknown characters are -1 - code point."""
@@ -189,16 +190,15 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(sent.value)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index("text"))
-            for i in range(0, batch.num_rows, 500):
-                part = texts[i : i + 500].cast(pa.binary()).to_pylist()
-                ids = [model.encode(t.decode()) if t else np.zeros(0, "<u4") for t in part]
-                same = [model.decode(x) == (t or b"") for x, t in zip(ids, part, strict=True)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
-                kept = [batch.column(batch.schema.get_field_index(c))[i : i + 500] for c in names]
-                yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(same)], [*names, "ids", "round_trip"])
+            part = texts.cast(pa.binary()).to_pylist()
+            ids = [model.encode(t.decode()) if t else np.zeros(0, "<u4") for t in part]
+            same = [model.decode(x) == (t or b"") for x, t in zip(ids, part, strict=True)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, lists, pa.array(same)], [*names, "ids", "round_trip"])
 
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
     return docs.select(*[F.col(f"`{c}`") for c in [*names, "text"]]).mapInArrow(run, schema)
@@ -210,7 +210,7 @@ def codec_digest(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(sent.value)
-        for batch in batches:
+        for batch in small(batches):
             rows: list[tuple] = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 ids = model.encode(text.decode()) if text else np.zeros(0, "<u4")

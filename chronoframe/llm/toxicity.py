@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, small, table
 from .decontaminate import words_of
 from .token_files import Generations
 
@@ -42,6 +42,7 @@ MIN_Z, MIN_COUNT = 3.0, 5
 GAP = 0.5
 SIGNIFICANT = 0.05
 THRESHOLD = 0.3
+CACHE_ENTRIES = 200_000
 PREFIXES = (6, 5, 4)
 
 
@@ -63,14 +64,14 @@ class ToxicityModel:
     coefficients: tuple[float, ...] = (-2.0, 0.0, 0.0, 0.0)
 
     def __post_init__(self) -> None:
-        self.cache: Generations = Generations(self._weight)
+        self.cache: Generations = Generations(self._weight, CACHE_ENTRIES)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "cache"}
 
     def __setstate__(self, state) -> None:
         self.__dict__.update(state)
-        self.cache = Generations(self._weight)
+        self.cache = Generations(self._weight, CACHE_ENTRIES)
 
     def _weight(self, word: bytes) -> float:
         for f in features_of(word):
@@ -130,7 +131,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the least of three hashes over a text's shingles of five words: near copies share most of these."""
-    for batch in batches:
+    for batch in small(batches):
         marks = []
         for text in batch.column(0).cast(pa.binary()).to_pylist():
             words = words_of(text)
@@ -144,7 +145,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     one document repeats counts once; the empty feature has the sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             counts: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
             for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = {f for w in set(words_of(text)) for f in features_of(w)}
@@ -213,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     model = ToxicityModel({bytes(r.feature): r.delta for r in kept})
 
     def positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, at, weights = [], [], []
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 s = model.token_scores(text)
@@ -246,7 +247,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Returns doc_id, held_out, score, predicted, n_passages for every row; null and empty texts have no passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             p, n = _score_texts(model, batch.column(1).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array([int(x >= THRESHOLD) for x in p], pa.int32()), pa.array(n, pa.int64())], ["doc_id", "score", "predicted", "n_passages"])
 
@@ -258,7 +259,7 @@ def toxic_passages(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Every significant passage: doc_id, first_word, end_word, score, log_e."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = [(i, *p) for i, t in enumerate(batch.column(1).cast(pa.binary()).to_pylist()) for p in model.passages(model.token_scores(t))]
             columns = [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.float64()) for k in range(1, 5))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "first_word", "end_word", "score", "log_e"])
@@ -271,7 +272,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             p, _ = _score_texts(model, batch.column(at).cast(pa.binary()).to_pylist())
             yield batch.filter(pa.array([x < THRESHOLD for x in p], pa.bool_()))
 
