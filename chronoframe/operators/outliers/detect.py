@@ -58,7 +58,7 @@ def outliers(samples: DataFrame, query: RangeQuery, method: str = "zscore", dire
 
 
 def fenced_outliers(samples: DataFrame, query: RangeQuery, method: str = "zscore", threshold: float | None = None, direction: str = "both", output: str = "full", by: Sequence[str] = BY) -> DataFrame:
-    """The same for zscore, modified-zscore, mad and iqr, by aggregations and joins alone."""
+    """The same for zscore, modified-zscore, mad, double-mad and iqr, by aggregations and joins alone."""
     found = scan(samples, query, by)
     v = ok(F.col("value"))
     keys = list(by)
@@ -73,6 +73,12 @@ def fenced_outliers(samples: DataFrame, query: RangeQuery, method: str = "zscore
         center = found.groupBy(*keys).agg(n, F.percentile(v, 0.5).alias("_c"))
         spread = found.join(center, keys).groupBy(*keys).agg(F.percentile(F.abs(v - F.col("_c")), 0.5).alias("_s"))
         fences = center.join(spread, keys).select(*keys, "_n", "_c", (F.col("_c") - k * F.col("_s")).alias("_lo"), (F.col("_c") + k * F.col("_s")).alias("_hi"))
+    elif method == "double-mad":
+        k = threshold or 3.0
+        center = found.groupBy(*keys).agg(n, F.percentile(v, 0.5).alias("_c"))
+        away = v - F.col("_c")
+        sides = found.join(center, keys).groupBy(*keys).agg(F.percentile(F.when(away <= 0, -away), 0.5).alias("_a"), F.percentile(F.when(away >= 0, away), 0.5).alias("_b"))
+        fences = center.join(sides, keys).select(*keys, "_n", "_c", (F.col("_c") - k * F.col("_a")).alias("_lo"), (F.col("_c") + k * F.col("_b")).alias("_hi"))
     elif method == "iqr":
         k = threshold or 1.5
         known = F.when(F.isnan("value"), 0.0).otherwise(F.col("value"))

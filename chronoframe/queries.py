@@ -344,9 +344,9 @@ FENCES = {
     "iqr": "m AS (SELECT key, count(*) AS n, list_sort(list(value)) AS v FROM samples GROUP BY key), q AS (SELECT key, n, v[n // 4 + 1] AS q1, v[3 * n // 4 + 1] AS q3 FROM m), fence AS (SELECT key, n, (q1 + q3) / 2 AS c, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)",
     "double-mad": "m AS (SELECT key, count(*) AS n, median(value) AS c FROM samples GROUP BY key), fence AS (SELECT key, any_value(n) AS n, any_value(c) AS c, any_value(c) - 3 * median(abs(value - c)) FILTER (value <= c) AS lo, any_value(c) + 3 * median(abs(value - c)) FILTER (value >= c) AS hi FROM samples JOIN m USING (key) GROUP BY key)",
 }
-for _method in ("zscore", "modified-zscore", "mad", "iqr"):
+for _method in ("zscore", "modified-zscore", "mad", "double-mad", "iqr"):
     query(f"outliers_{_method.replace('-', '_')}", f"WITH {EVENTS}, {FENCES[_method]}, {FENCE} {SCORE}")(lambda s, d, m=_method: fenced_outliers(event_samples(s, d), range_query(), m))
-query("outliers_double_mad", f"WITH {EVENTS}, {FENCES['double-mad']}, {FENCE} {SCORE}")(lambda s, d: outliers(event_samples(s, d), range_query(), "double-mad"))
+query("outliers_double_mad_batch", f"WITH {EVENTS}, {FENCES['double-mad']}, {FENCE} SELECT * FROM ({SCORE}) WHERE key LIKE 'view:%'")(lambda s, d: outliers(event_samples(s, d).where(F.col("key").startswith("view:")), range_query(), "double-mad"))
 query("outliers_iqr_simple", f"WITH {EVENTS}, {FENCES['iqr']}, {FENCE} SELECT * FROM ({SCORE}) WHERE signal = 1")(lambda s, d: fenced_outliers(event_samples(s, d), range_query(), "iqr", direction="positive", output="simple"))
 query("outliers_mad_cleaned", f"WITH {EVENTS}, {FENCES['mad']}, {FENCE} SELECT key, ts, value FROM ({SCORE}) WHERE signal = 0")(lambda s, d: outliers(event_samples(s, d), range_query(), "mad", output="cleaned"))
 for _method in ("cusum", "ewma", "smoothed-zscore", "esd", "rcf"):
