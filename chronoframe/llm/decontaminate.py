@@ -55,7 +55,8 @@ def _gram(ids: np.ndarray, n: int) -> np.ndarray:
 def _keys(rows: np.ndarray, window: int, pad: int) -> np.ndarray:
     """Rows of word ids as byte strings that sort as the rows do, filled up with pad."""
     full = np.full((len(rows), window * 4), pad, np.uint8)
-    full[:, : rows.shape[1] * 4] = np.ascontiguousarray(rows.astype(">u4")).view(np.uint8).reshape(len(rows), -1)
+    width = rows.shape[1] * 4
+    full[:, :width] = np.ascontiguousarray(rows.astype(">u4")).view(np.uint8).reshape(len(rows), width)
     return full.view(f"S{window * 4}").ravel()
 
 
