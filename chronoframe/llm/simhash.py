@@ -40,8 +40,8 @@ def fingerprint(text: bytes | None) -> int:
     h = np.fromiter(map(_hash, shingles), np.uint64, n)
     counts = np.zeros(64, np.int64)
     for i in range(0, n, _ROWS * 256):
-        part = h[i : i + _ROWS * 256].astype(">u8")
-        part = np.concatenate([part, np.zeros(-len(part) % _ROWS, ">u8")])
+        part = h[i : i + _ROWS * 256]
+        part = np.concatenate([part, np.zeros(-len(part) % _ROWS, np.uint64)]).astype(">u8")  # the highest bit first
         bits = np.unpackbits(part.view(np.uint8)).reshape(-1, _ROWS, 64)
         counts += np.add.reduce(bits, axis=1, dtype=np.uint8).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
@@ -131,27 +131,30 @@ def keep_one(docs: DataFrame) -> DataFrame:
     labels = materialize(_labelled(found), "labels")
     ids = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "ids")
     kept = ids.join(labels, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), "n")
-    once = docs.join(kept.where("n = 1"), docs["doc_id"] == F.col("_kept"), "left_semi")
-    again = docs.join(kept.where("n > 1"), docs["doc_id"] == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    one, more = kept.where("n = 1"), kept.where("n > 1")
+    once = docs.join(one, docs["doc_id"] == one["_kept"], "left_semi")
+    again = docs.join(more, docs["doc_id"] == more["_kept"], "left_semi").dropDuplicates(["doc_id"])
     out = once.unionByName(again)
     if found.where("doc_id IS NULL").limit(1).count():
-        unnamed = docs.where("doc_id IS NULL")
-        mark = _with_fingerprint(unnamed).join(labels.where("component_id IS NULL").select(F.col("fp").alias("_fp")), "_fp", "left_semi")
-        roots = components(ball_links(mark.select(F.col("_fp").alias("fp")).distinct()))
-        mark = mark.join(roots, mark["_fp"] == roots["node"], "left").withColumn("_fp", F.coalesce("root", "_fp"))
-        out = out.unionByName(mark.dropDuplicates(["_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+        unnamed = _with_fingerprint(docs.where("doc_id IS NULL").select("text", whole))
+        mark = unnamed.join(labels.where("component_id IS NULL").select("fp"), "fp", "left_semi")
+        roots = components(ball_links(mark.select("fp").distinct()))
+        mark = mark.join(roots, mark["fp"] == roots["node"], "left").withColumn("fp", F.coalesce("root", "fp"))
+        out = out.unionByName(mark.dropDuplicates(["fp"]).select("row.*"))
     return out
 
 
 def _with_fingerprint(docs: DataFrame) -> DataFrame:
+    """``docs`` (text and others) with its fingerprints as fp."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             fps = pa.array([_signed(fingerprint(t)) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "fp"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
