@@ -226,7 +226,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with entities and disclosing terms replaced in text; a null text stays null."""
     base = materialize(_mentions(scan(docs, [])).select("_key", "_mentions"), "pii-mentions")
     added = materialize(disclosing_terms(docs, base), "pii-terms")
-    found = scan(docs, docs.columns)
+    names = docs.columns
+    found = scan(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")), ["_row"])  # no name of docs can clash
     found = found.withColumn("_k", F.when(F.size("_spans") > 0, F.md5(F.encode("_text", "UTF-8"))))
     if added.count() <= BROADCAST_ROWS:
         joined = found.join(F.broadcast(added), F.col("_k") == F.col("_key"), "left")
@@ -235,8 +236,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     span = "array<struct<s:int,k:int,e:int,remove:boolean>>"
     base_part = F.transform("_spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(False).alias("remove")))
     spans = F.concat(base_part, F.coalesce(F.col("added"), F.array().cast(span)))
-    new = F.when(F.col("text").isNotNull(), _redacted(F.col("_text"), spans))
-    return joined.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    new = F.when(F.col("_row.text").isNotNull(), _redacted(F.col("_text"), spans))
+    return joined.select(*[new.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,9 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, seed: int = SEED) -> Dat
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, seed: int = SEED) -> None:
     """Writes whole rows under ``path/shard=k``, several files a shard, each sorted by slot."""
-    interleave(materialize(docs, "shard-input"), n_shards, seed).repartitionByRange(4 * n_shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")]).alias("row")
+    rows = interleave(materialize(docs.select("doc_id", "source", whole), "shard-input"), n_shards, seed)
+    rows.select("row.*", "shard", "slot").repartitionByRange(4 * n_shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

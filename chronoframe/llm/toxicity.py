@@ -201,8 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "toxic")  # at most fit_rows rows
     marked = picked.mapInArrow(_mark, "text string, toxic int, m0 long, m1 long, m2 long")
-    for m in ("m0", "m1", "m2"):
-        marked = marked.dropDuplicates([m, "toxic"])
+    for m in ("m0", "m1", "m2"):  # of rows with one mark the same one stays, however they are partitioned
+        row = F.min_by(F.struct("text", "m0", "m1", "m2"), F.xxhash64("text")).alias("r")
+        marked = marked.groupBy(F.col(m).alias("m"), "toxic").agg(row).select("toxic", "r.*")
     sample = materialize(marked.select("text", "toxic"), "toxicity-fit")
     counts = materialize(_counts(sample), "toxicity-counts")
     totals = counts.where("length(feature) = 0").first()
