@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small, table
+from .common import small, spread, table
 
 BLOCK = 4096
 RATE = 16_000
@@ -497,4 +497,4 @@ def media_digest(docs: DataFrame) -> DataFrame:
 
 
 def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digest(table(spark, sf_dir, "documents"))
+    return media_digest(spread(table(spark, sf_dir, "documents")))

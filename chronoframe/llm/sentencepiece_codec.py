@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small, table
+from .common import small, spread, table
 from .token_files import Generations
 
 BLANK = "▁"
@@ -229,4 +229,4 @@ def model_path() -> str:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return codec_digest(table(spark, sf_dir, "documents"), model_path())
+    return codec_digest(spread(table(spark, sf_dir, "documents")), model_path())

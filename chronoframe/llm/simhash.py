@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small, table
+from .common import materialize, small, spread, table
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 _ROWS = 255  # as many bits can be summed in a byte
@@ -158,4 +158,4 @@ def _with_fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents")))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, small, table
+from .common import materialize, small, spread, table
 from .decontaminate import words_of
 from .token_files import Generations
 
@@ -281,5 +281,5 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
