@@ -201,3 +201,14 @@ def selector_column(texts: Sequence[str], labels: Column, check: bool = True) ->
     for s in parse_selectors(texts, check):
         out = out & s.column(labels)
     return out
+
+
+def parse_metric(text: str) -> dict[str, str]:
+    """Labels of a metric name such as ``cpu{host="a", dc="b"}``."""
+    groups = parse_selector(text).groups
+    if len(groups) != 1 or any(m.op != "=" or len(m.values) != 1 for m in groups[0]):
+        raise SelectorError(f"{text!r} is no metric name")
+    labels = {m.label: m.values[0] for m in groups[0]}
+    if len(labels) < len(groups[0]) or len(labels) > 128:
+        raise SelectorError(f"a repeated label, or too many, in {text!r}")
+    return labels
