@@ -123,13 +123,13 @@ def refresh(dest: DataFrame, samples: DataFrame, batch: DataFrame, r: Rule) -> D
     is published once a later one begins, so it counts as touched.
     """
     mine = samples.where(F.col("key") == r.source)
-    newest = dest.where(F.col("key") == r.dest).agg(F.max("ts").alias("published"))
+    published = dest.where(F.col("key") == r.dest).agg(F.max("ts")).first()[0]
     start = bucket_start(F.col("ts"), r.bucket_ms, r.align)
-    since = mine.crossJoin(F.broadcast(newest)).where(F.col("published").isNull() | (start > F.col("published"))).select(start.alias("bucket"))  # one row
+    since = (mine if published is None else mine.where(start > published)).select(start.alias("bucket"))
     changed = touched(batch, r).unionByName(since).distinct()
     fresh = compact(mine.join(changed, start == F.col("bucket"), "left_semi"), r, include_open=True)
-    border = open_buckets(mine, r).select("start")
-    fresh = fresh.crossJoin(F.broadcast(border)).where(F.col("ts") < F.col("start")).drop("start")  # one row
+    border = open_buckets(mine, r).first()
+    fresh = fresh.where(F.col("ts") < border.start) if border else fresh.limit(0)
     kept = dest.join(changed.select(F.greatest("bucket", F.lit(0).cast("long")).alias("ts")), "ts", "left_anti")
     return kept.select("key", "ts", "value").unionByName(fresh)
 
