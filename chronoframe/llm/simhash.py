@@ -99,13 +99,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _labelled(found: DataFrame) -> DataFrame:
-    """(fp, component_id) for every distinct fingerprint of a written table (doc_id, fp)."""
+    """(fp, root, component_id) for every distinct fingerprint of a written table (doc_id, fp).
+
+    root names the component; two of them have one component_id only if that id is repeated.
+    """
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(ball_links(found.select("fp").distinct()))
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     nodes = materialize(nodes, "nodes")
     least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return nodes.join(least, "root").select("fp", "component_id")
+    return nodes.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -116,7 +119,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null only if all its ids are.
     """
     found = materialize(fingerprints(docs), "fingerprints")
-    labels = _labelled(found).withColumnRenamed("fp", "_fp")
+    labels = _labelled(found).select(F.col("fp").alias("_fp"), "component_id")
     out = found.join(labels, found.fp == labels._fp, "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -124,24 +127,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, one of each component: the one with the smallest id.
 
-    Of rows repeated under that id one stays. A row with a null id stays only if its
-    component has no other row, or is one row picked from nothing but null ids.
+    Of rows repeated under that id one stays, and rows of different components under one id
+    stay each for its own. A row with a null id stays only if its component has nothing but
+    null ids, as one of these.
     """
     found = materialize(fingerprints(docs), "fingerprints")
     labels = materialize(_labelled(found), "labels")
     ids = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "ids")
-    kept = ids.join(labels, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("_kept"), "n")
-    one, more = kept.where("n = 1"), kept.where("n > 1")
-    once = docs.join(one, docs["doc_id"] == one["_kept"], "left_semi")
-    again = docs.join(more, docs["doc_id"] == more["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    out = once.unionByName(again)
-    if found.where("doc_id IS NULL").limit(1).count():
+    once = ids.where("n = 1").join(labels, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    out = docs.join(once, docs["doc_id"] == once["_kept"], "left_semi")
+    # ids that don't tell rows apart: null, or repeated; their rows are told apart by fingerprints
+    repeated = ids.where("n > 1").select(F.col("doc_id").alias("_kept"))
+    unclear = [docs.join(repeated, docs["doc_id"] == repeated["_kept"], "left_semi")] if repeated.limit(1).count() else []
+    unclear += [docs.where("doc_id IS NULL")] if found.where("doc_id IS NULL").limit(1).count() else []
+    for rows in unclear:
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-        unnamed = _with_fingerprint(docs.where("doc_id IS NULL").select("text", whole))
-        mark = unnamed.join(labels.where("component_id IS NULL").select("fp"), "fp", "left_semi")
-        roots = components(ball_links(mark.select("fp").distinct()))
-        mark = mark.join(roots, mark["fp"] == roots["node"], "left").withColumn("fp", F.coalesce("root", "fp"))
-        out = out.unionByName(mark.dropDuplicates(["fp"]).select("row.*"))
+        marked = _with_fingerprint(rows.select("text", whole)).join(labels, "fp").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
+        out = out.unionByName(marked.dropDuplicates(["root"]).select("row.*"))
     return out
 
 

@@ -486,6 +486,12 @@ def test_keep_one(docs, edge):
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(components)
 
 
+def test_keep_one_with_one_id_for_different_texts(spark):
+    texts = ["one two three four", "five six seven eight", "one two three four", None]
+    df = spark.createDataFrame([(5, t) for t in texts] + [(7, texts[1]), (None, texts[0])], "doc_id long, text string")
+    assert sorted(map(str, simhash.keep_one(df).collect())) == sorted(map(str, df.where("doc_id = 5").distinct().collect()))
+
+
 # 9
 
 
