@@ -7,10 +7,10 @@ constant, plain, fixed (order 0 to 4) and LPC subframes, Rice partitions with 4-
 parameters and escapes, verifies the checksums of all headers and frames and the MD5 of the
 samples, and gives PCM blocks with their sample offsets.
 
-Both work on the frames of many files at once: bits are placed by numpy over all samples, and
+Both work on the frames of many files at once: bits are placed by numpy over runs of about ``RUN`` samples, and
 decoding steps through the frames side by side, one code of each at a time. Files are
-made and read where their row is, without a shuffle; memory is bounded by ``GROUP`` samples
-beside the largest single row.
+made and read where their row is, without a shuffle; a worker holds the payloads of ``GROUP``
+bytes, or one longer row, and the arrays of one run.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ BLOCK = 4096
 RATE = 16_000
 UNIT = 64
 GROUP = 4 << 20
+RUN = 4 << 20
+_POINT = np.dtype([("s", ">u8"), ("o", ">u8"), ("n", ">u2")])
 
 
 def _crc_tables(polynomial: int, bits: int, n: int) -> np.ndarray:
@@ -97,17 +99,41 @@ def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, starts, dtype=np.int64)
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of frames that hold about so many samples together."""
+    run = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
+    return zip(cuts, cuts[1:], strict=False)
+
+
 def encode_many(payloads: list[bytes]) -> list[bytes]:
-    """One FLAC file for each payload; none may be empty."""
+    """One FLAC file for each payload; none may be empty. Works on runs of frames of about RUN samples."""
     sizes = np.array([len(p) for p in payloads], np.int64)
     joined = np.frombuffer(b"".join(payloads), np.uint8)
-    samples = joined.astype(np.int32) - 128
     file_starts = np.concatenate([[0], np.cumsum(sizes)])
     per_file = -(-sizes // BLOCK)
     file_of = np.repeat(np.arange(len(sizes)), per_file)
     number = np.arange(len(file_of)) - np.repeat(np.cumsum(per_file) - per_file, per_file)
     starts = file_starts[file_of] + number * BLOCK
     ends = np.minimum(starts + BLOCK, file_starts[file_of + 1])
+    done = [_encode_frames(joined[starts[a] : ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a], number[a:b]) for a, b in _runs(ends - starts, RUN)]
+    frames, frame_bytes = b"".join(d[0] for d in done), np.concatenate([d[1] for d in done])
+    file_frames, frame_starts, files = np.concatenate([[0], np.cumsum(per_file)]), np.cumsum(frame_bytes) - frame_bytes, []
+    for i, size in enumerate(sizes.tolist()):
+        a, b = int(file_frames[i]), int(file_frames[i + 1])
+        small, large = int(frame_bytes[a:b].min()), int(frame_bytes[a:b].max())
+        md5 = hashlib.md5((joined[file_starts[i] : file_starts[i + 1]] ^ 0x80).tobytes()).digest()
+        info = struct.pack(">HH", BLOCK, BLOCK) + small.to_bytes(3, "big") + large.to_bytes(3, "big") + (RATE << 44 | 7 << 36 | size).to_bytes(8, "big") + md5
+        points = np.zeros(b - a, _POINT)
+        points["s"], points["o"], points["n"] = starts[a:b] - file_starts[i], frame_starts[a:b] - frame_starts[a], (ends - starts)[a:b]
+        seek = points.tobytes()
+        files.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + frames[frame_starts[a] : frame_starts[b - 1] + frame_bytes[b - 1]])
+    return files
+
+
+def _encode_frames(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The frames from ``starts`` to ``ends``, one after the other, and the bytes of each."""
+    samples = joined.astype(np.int32) - 128
     n, frame_of = ends - starts, np.repeat(np.arange(len(starts)), ends - starts)
     offset = np.arange(len(samples)) - starts[frame_of]
 
@@ -130,7 +156,6 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     headers = [_frame_header(a, b) for a, b in zip(number.tolist(), n.tolist(), strict=True)]
     head = np.array([len(h) for h in headers], np.int64)
     frame_bytes = head + 1 + (best + 7) // 8 + 2
-    file_frames = np.concatenate([[0], np.cumsum(per_file)])
     frame_starts = np.cumsum(frame_bytes) - frame_bytes
     total = int(frame_bytes.sum())
 
@@ -174,17 +199,7 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
             view[body : body + 1 + kd] = bytes([0x10 | kd << 1]) + raw[a : a + kd]
     crc = crc16_many(out, frame_starts, frame_starts + frame_bytes - 2)
     out[frame_starts + frame_bytes - 2], out[frame_starts + frame_bytes - 1] = crc >> 8, crc & 255
-    frames, files = out.tobytes(), []
-    for i, size in enumerate(sizes.tolist()):
-        a, b = int(file_frames[i]), int(file_frames[i + 1])
-        small, large = int(frame_bytes[a:b].min()), int(frame_bytes[a:b].max())
-        info = struct.pack(">HH", BLOCK, BLOCK) + small.to_bytes(3, "big") + large.to_bytes(3, "big") + (RATE << 44 | 7 << 36 | size).to_bytes(8, "big") + hashlib.md5(raw[file_starts[i] : file_starts[i + 1]]).digest()
-        points = np.zeros(b - a, np.dtype([("s", ">u8"), ("o", ">u8"), ("n", ">u2")]))
-        points["s"], points["o"], points["n"] = starts[a:b] - file_starts[i], frame_starts[a:b] - frame_starts[a], n[a:b]
-        seek = points.tobytes()
-        end = frame_starts[b] if b < len(frame_starts) else total
-        files.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + frames[frame_starts[a] : end])
-    return files
+    return out.tobytes(), frame_bytes
 
 
 class FlacError(ValueError):
@@ -203,7 +218,7 @@ def read_header(media: bytes) -> tuple[dict, np.ndarray | None, int]:
             v = int.from_bytes(body[10:18], "big")
             info = {"block": int.from_bytes(body[2:4], "big"), "rate": v >> 44, "channels": (v >> 41 & 7) + 1, "bits": (v >> 36 & 31) + 1, "samples": v & (1 << 36) - 1, "md5": body[18:34]}
         elif kind == 3:
-            points = np.frombuffer(body, np.dtype([("s", ">u8"), ("o", ">u8"), ("n", ">u2")]))
+            points = np.frombuffer(body, _POINT)
         at += 4 + size
     if info is None or info["channels"] != 1 or info["bits"] != 8:
         raise FlacError("only mono files of 8 bits are read")
@@ -388,11 +403,14 @@ def decode_many(files: list[bytes]) -> list[list[tuple[int, bytes]]]:
         base += len(media)
     out: list[list[tuple[int, bytes]]] = [[] for _ in files]
     if owner:
-        heads_, sizes_ = np.array(heads), np.array(sizes)
-        samples, ends = _decode_frames(buffer, sizes_, np.array(bodies))
-        _verify(buffer, heads_, ends)
-        for i, first, block in zip(owner, firsts, samples, strict=True):
-            out[i].append((first, block.tobytes()))
+        heads_, sizes_, bodies_ = np.array(heads), np.array(sizes), np.array(bodies)
+        for a, b in _runs(sizes_, RUN):
+            base = heads[a]
+            part = buffer[base : heads[b] if b < len(heads) else len(buffer)]
+            samples, ends = _decode_frames(part, sizes_[a:b], bodies_[a:b] - base)
+            _verify(part, heads_[a:b] - base, ends)
+            for i, first, block in zip(owner[a:b], firsts[a:b], samples, strict=True):
+                out[i].append((first, block.tobytes()))
     for i, blocks in alone.items():
         out[i] = blocks
     for blocks, info in zip(out, infos, strict=True):
