@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import small, spread, table
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_WORDS = 500_000
 _BITS = 22
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -65,19 +65,19 @@ class TestBlock:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window, self.ids, self.vocabulary = window, [i for i, _ in items], {}
-        by_length: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+        by_length: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         for n, (_, text) in enumerate(items):
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            k = min(window, len(ids))
-            for j in range(len(ids) - k + 1 if k else 0):
-                by_length[k][0].append(ids[j : j + k])
-                by_length[k][1].append((n, j))
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.uint32)
+            if k := min(window, len(ids)):
+                rows = np.lib.stride_tricks.sliding_window_view(ids, k)
+                by_length[k].append((rows, np.stack([np.full(len(rows), n), np.arange(len(rows))], 1)))
         self.tables, self.groups = {}, []
-        for k, (rows, owners) in sorted(by_length.items()):
-            unique, which = np.unique(np.array(rows, np.uint32), axis=0, return_inverse=True)
+        for k, parts in sorted(by_length.items()):
+            owners = np.concatenate([p[1] for p in parts])
+            unique, which = np.unique(np.concatenate([p[0] for p in parts]), axis=0, return_inverse=True)
             order = np.argsort(which.ravel(), kind="stable")
             starts = np.searchsorted(which.ravel()[order], np.arange(len(unique) + 1))
-            self.groups.append((k, _keys(unique, window, 0), _keys(unique, window, 255), starts, np.array(owners, np.int64).reshape(-1, 2)[order]))
+            self.groups.append((k, _keys(unique, window, 0), _keys(unique, window, 255), starts, owners[order]))
             g = min(k, 4)
             seen = self.tables.setdefault(g, np.zeros(1 << _BITS, bool))
             seen[_gram(np.concatenate([np.pad(unique[:, :g], ((0, 0), (0, 4))), np.zeros((1, g + 4), np.uint32)]).ravel(), g)[:: g + 4][: len(unique)]] = True
