@@ -56,3 +56,16 @@ def test_tail_and_blocking_read(spark, tmp_path):
     q.awaitTermination(60)
     assert sorted(r.ts for r in spark.table("tail").collect()) == [3, 4]
     assert s.where(F.col("ts") > 3).count() == 1
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path, capsys):
+    from chronoframe.operators.ranges import scan
+    from chronoframe.plans.query import aggregation, range_query
+
+    s = spark.createDataFrame([("k", t, float(t)) for t in range(5)], "key string, ts long, value double")
+    write_samples(s, str(tmp_path / "x"))
+    q = range_query(1, 3, by_value=(0, 9), aggregate=aggregation("avg", 2))
+    scan(read_samples(spark, str(tmp_path / "x")).where("key = 'k'"), q).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(ts,1)" in plan and "LessThanOrEqual(ts,3)" in plan and "EqualTo(key,k)" in plan
+    assert plan.count("Exchange") <= 4 and "Python" not in plan
