@@ -83,7 +83,8 @@ class WordEncoder:
     """Encodes texts with a tokenizer whose pre-tokenizer never joins what blanks divide."""
 
     #: A word and its end marks; an apostrophe could start one of the vocabulary's suffixes.
-    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*]*)")
+    LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    MARKS = ".,!?;:#$%&*"
     END = "</w>"
 
     def __init__(self, tokenizer_json: str):
@@ -102,19 +103,30 @@ class WordEncoder:
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def _simple(self, chunk: str) -> tuple[str, str] | None:
+        """The word in lower case and its marks, of a chunk that is just these."""
+        word = chunk.rstrip(self.MARKS)
+        if word.isalpha() and (word.isascii() or self.LATIN.fullmatch(word)):
+            return word.lower(), chunk[len(word) :]
+        return None
+
     def _chunk(self, chunk: str) -> bytes:
-        m = self.SIMPLE.fullmatch(chunk)
-        if not m:
+        found = self._simple(chunk)
+        if found is None:
             return self._encode(chunk) if chunk else b""
-        return self.words[m[1].lower()] + (self.words[m[2]] if m[2] else b"")
+        return self.words[found[0]] + (self.words[found[1]] if found[1] else b"")
 
     def _learn(self, texts: list[list[str]]) -> None:
         """Fills the caches for some texts, new words in few calls; each word ends with one end piece."""
         seen: set[str] = set()
         for t in texts:
             seen.update(t)
-        chunks, old, match = self.chunks, self.chunks.old, self.SIMPLE.fullmatch
-        new = [(c, m[1].lower(), m[2]) for c in seen if c not in chunks and c not in old and (m := match(c))]
+        chunks, old, simple = self.chunks, self.chunks.old, self._simple
+        seen.difference_update(chunks)
+        known = list(seen & old.keys())
+        chunks.update(zip(known, map(old.__getitem__, known), strict=True))
+        seen.difference_update(known)
+        new = [(c, *found) for c in seen if (found := simple(c))]
         words = list({w for _, w, _ in new if w not in self.words and w not in self.words.old})
         width = self.kind.itemsize
         for i in range(0, len(words), 2000):
@@ -141,7 +153,7 @@ def _encoder(tokenizer_json: str) -> WordEncoder:
     return WordEncoder(tokenizer_json)
 
 
-def _groups(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:
+def _groups(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of so many characters together; null texts are empty."""
     first, part, size = 0, [], 0
     for i, x in enumerate(texts):
