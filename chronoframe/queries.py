@@ -38,8 +38,8 @@ ORDERS = "samples AS (SELECT o_orderpriority AS key, (epoch_us(o_orderdate) // 1
 
 
 def shown(df: DataFrame) -> DataFrame:
-    """Doubles rounded, NaN as null."""
-    return df.select(*[F.round(F.when(~F.isnan(c), F.col(c)), 6).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes])
+    """Doubles rounded, NaN as null, and no negative zero."""
+    return df.select(*[(F.round(F.when(~F.isnan(c), F.col(c)), 6) + F.lit(0.0)).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes])
 
 
 def query(name: str, sql: str | None = None):
@@ -57,7 +57,7 @@ def bucket(d: int, origin: int = 0, ts: str = "ts") -> str:
 
 
 def r6(x: str) -> str:
-    return f"round({x}, 6)"
+    return f"(round({x}, 6) + 0.0)"
 
 
 # Range scans and filters
