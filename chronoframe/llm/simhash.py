@@ -15,6 +15,7 @@ on a written table; nothing is gathered on the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -30,14 +31,22 @@ _hash = partial(xxhash.xxh64_intdigest, seed=42)
 _ROWS = 255  # as many bits can be summed in a byte
 
 
-def fingerprint(text: bytes | None) -> int:
-    """The SimHash of a text's shingles of three words, unsigned; 0 without a word."""
+def shingle_hashes(text: bytes | None, length: int) -> np.ndarray:
+    """The hashes of a text's shingles of ``length`` words, in order; a shorter text is one shingle."""
     words = text.lower().split() if text else []
     if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - length + 1)
+    shingles = map(b" ".join, zip(*[words[i:] for i in range(length)], strict=False)) if len(words) >= length else [b" ".join(words)]
+    return np.fromiter(map(_hash, shingles), np.uint64, n)
+
+
+def fingerprint(text: bytes | None, length: int = 3) -> int:
+    """The SimHash of a text's shingles of ``length`` words, unsigned; 0 without a word."""
+    h = shingle_hashes(text, length)
+    n = len(h)
+    if not n:
         return 0
-    shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) >= 3 else [b" ".join(words)]
-    n = max(1, len(words) - 2)
-    h = np.fromiter(map(_hash, shingles), np.uint64, n)
     counts = np.zeros(64, np.int64)
     for i in range(0, n, _ROWS * 256):
         part = h[i : i + _ROWS * 256]
@@ -51,12 +60,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, length: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            fps = [_signed(fingerprint(t)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            fps = [_signed(fingerprint(t, length)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -98,13 +107,33 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def _labelled(found: DataFrame) -> DataFrame:
-    """(fp, root, component_id) for every distinct fingerprint of a written table (doc_id, fp).
+@dataclass(frozen=True)
+class SimHashLinks:
+    """A rule that links texts whose SimHash differs in at most 2 bits.
+
+    A rule has ``mark`` (what stands for a text), ``found`` (doc_id, fp: the marks of all rows) and
+    ``links`` (a, b between marks). ``similarity.JaccardLinks`` is the other one.
+    """
+
+    words: int = 3
+
+    def mark(self, text: bytes | None) -> int:
+        return _signed(fingerprint(text, self.words))
+
+    def found(self, docs: DataFrame) -> DataFrame:
+        return fingerprints(docs, self.words)
+
+    def links(self, docs: DataFrame, found: DataFrame) -> DataFrame:
+        return ball_links(found.select("fp").distinct())
+
+
+def _labelled(docs: DataFrame, found: DataFrame, rule) -> DataFrame:
+    """(fp, root, component_id) for every distinct mark of a written table (doc_id, fp) of ``docs``.
 
     root names the component; two of them have one component_id only if that id is repeated.
     """
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(ball_links(found.select("fp").distinct()))
+    roots = components(rule.links(docs, found))
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     nodes = materialize(nodes, "nodes")
     least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -119,20 +148,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null only if all its ids are.
     """
     found = materialize(fingerprints(docs), "fingerprints")
-    labels = _labelled(found).select(F.col("fp").alias("_fp"), "component_id")
+    labels = _labelled(docs, found, SimHashLinks()).select(F.col("fp").alias("_fp"), "component_id")
     out = found.join(labels, found.fp == labels._fp, "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, one of each component: the one with the smallest id.
+def keep_one(docs: DataFrame, rule=SimHashLinks()) -> DataFrame:  # noqa: B008
+    """The rows of ``docs``, all columns, one of each component of ``rule``'s links: the one with the smallest id.
 
     Of rows repeated under that id one stays, and rows of different components under one id
     stay each for its own. A row with a null id stays only if its component has nothing but
     null ids, as one of these.
     """
-    found = materialize(fingerprints(docs), "fingerprints")
-    labels = materialize(_labelled(found), "labels")
+    found = materialize(rule.found(docs), "fingerprints")
+    labels = materialize(_labelled(docs, found, rule), "labels")
     ids = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "ids")
     once = ids.where("n = 1").join(labels, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
     out = docs.join(once, docs["doc_id"] == once["_kept"], "left_semi")
@@ -142,18 +171,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     unclear += [docs.where("doc_id IS NULL")] if found.where("doc_id IS NULL").limit(1).count() else []
     for rows in unclear:
         whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-        marked = _with_fingerprint(rows.select("text", whole)).join(labels, "fp").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
+        marked = _with_mark(rows.select("text", whole), rule).join(labels, "fp").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
         out = out.unionByName(marked.dropDuplicates(["root"]).select("row.*"))
     return out
 
 
-def _with_fingerprint(docs: DataFrame) -> DataFrame:
-    """``docs`` (text and others) with its fingerprints as fp."""
+def _with_mark(docs: DataFrame, rule) -> DataFrame:
+    """``docs`` (text and others) with its marks as fp."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            fps = pa.array([_signed(fingerprint(t)) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.int64())
+            fps = pa.array([rule.mark(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*batch.schema.names, "fp"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
