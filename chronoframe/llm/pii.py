@@ -1,23 +1,23 @@
 """Personal data: base patterns, and terms that reveal them by the corpus's statistics.
 
 Base entities (e-mail and IP addresses, payment cards, phone numbers) are found by patterns.
-Terms next to them can reveal them too. How strongly a term t reveals an entity e is
+Terms in the same texts can reveal them too. How strongly a term t reveals an entity e is
 estimated from co-occurrence over all documents: with p(e) the share of documents that hold
-e, and p(e|t) the share of the documents with t in which t stands beside e, the disclosure is
+e, and p(e|t) the share of the documents with t that hold e, the disclosure is
 ``1 - log p(e|t) / log p(e)``, the pointwise mutual information in units of e's
 information content: 0 for a term that tells nothing, 1 for one that tells everything. Terms
 at ``REMOVE`` or above are removed, those at ``GENERALISE`` or above replaced by their kind,
-in texts in which they stand beside the entity. Only pairs that ``MIN_TEXTS`` different
+wherever they stand, in texts without the entity too. Only pairs that ``MIN_TEXTS`` different
 texts support count, so that copies of one text prove nothing.
 
 Only DataFrame functions are used. The patterns give the same matches as plain ones, but
 consume runs of characters at once (possessive, and starting only where a run starts), so
 that a long text costs time in proportion. Places come from the pieces between matches.
 
-Scale: texts are scanned where they are read; entity mentions with their neighbouring terms
-go to a written table that is small against the texts. Terms are counted over all texts only
-if they are candidates; candidates are broadcast if they are ``BROADCAST_ROWS`` or fewer, and
-joined by a shuffle beyond that.
+Scale: texts are scanned where they are read, once to count and once to mark; the terms of texts
+with entities go to a written table that is small against the texts. Terms are counted over all
+texts only if they are candidates; candidates, disclosing terms and the texts that hold them are
+broadcast if they are ``BROADCAST_ROWS`` or fewer, and joined by a shuffle beyond that.
 """
 
 from __future__ import annotations
@@ -39,7 +39,6 @@ PATTERNS = {
 HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 TERM = r"[\p{L}\p{N}]++"
 MIN_TERM = 3
-CONTEXT = 80
 MIN_TEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.95
 BROADCAST_ROWS = 100_000
@@ -122,17 +121,9 @@ def _entity(x: Column) -> Column:
     return F.concat(name, F.lit(":"), F.when(x["k"] < 2, F.lower(x["m"])).otherwise(_digits(x["m"])))
 
 
-def _terms_beside(text: Column, length: Column, x: Column, spans: Column) -> Column:
-    """array<struct<term, s, e>> of the whole words within CONTEXT characters of a span, outside all base spans."""
-
-    def side(start: Column, end: Column) -> Column:
-        piece = text.substr(start + 1, end - start)
-        words = F.transform(match_spans(piece, TERM), lambda w: F.struct(F.lower(w["m"]).alias("term"), (w["s"] + start).alias("s"), (w["e"] + start).alias("e")))
-        whole = lambda w: ((w["s"] > start) | (start == 0) | (start == x["e"])) & ((w["e"] < end) | (end == length) | (end == x["s"]))
-        return F.filter(words, lambda w: whole(w) & (w["e"] - w["s"] >= MIN_TERM) & ~F.exists(spans, lambda y: (y["s"] < w["e"]) & (w["s"] < y["e"])))
-
-    before = side(F.greatest(x["s"] - CONTEXT, F.lit(0)), x["s"])
-    return F.concat(before, side(x["e"], F.least(x["e"] + CONTEXT, length)))
+def _classes(x: Column) -> Column:
+    """What an entity is counted under."""
+    return F.array(_entity(x))
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -142,42 +133,68 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
     return out.withColumn("_spans", F.concat(*[f"_{k}" for k in KINDS]))
 
 
-def _mentions(found: DataFrame) -> DataFrame:
-    """Adds _key (of the text, where it has spans) and _mentions: array<struct<entity, terms>>."""
-    text, spans = F.col("_text"), F.col("_spans")
-    mention = lambda x: F.struct(_entity(x).alias("entity"), _terms_beside(text, F.length(text), x, spans).alias("terms"))
-    some = F.size(spans) > 0
-    return found.withColumn("_key", F.when(some, F.md5(F.encode(text, "UTF-8")))).withColumn("_mentions", F.when(some, F.transform(spans, mention)))
+def _words(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    words = F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.length(w) >= MIN_TERM)
+    return F.array_distinct(F.transform(words, F.lower))
+
+
+def _places(text: Column, spans: Column) -> Column:
+    """array<struct<term, s, e>> of the terms of a text outside its base spans."""
+    found = F.filter(match_spans(text, TERM), lambda w: (w["e"] - w["s"] >= MIN_TERM) & ~F.exists(spans, lambda y: (y["s"] < w["e"]) & (w["s"] < y["e"])))
+    return F.transform(found, lambda w: F.struct(F.lower(w["m"]).alias("term"), w["s"].alias("s"), w["e"].alias("e")))
+
+
+def _key(text: Column) -> Column:
+    return F.md5(F.encode(text, "UTF-8"))
 
 
 def _term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(term, n_t): in how many documents each candidate occurs."""
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]++"))).alias("term"))
+    words = docs.select(F.explode(_words(F.col("text"))).alias("term"))
     if candidates.count() <= BROADCAST_ROWS:
         words = words.join(F.broadcast(candidates), "term", "left_semi")
         return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(candidates, "term", "left_semi")
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(_key, added): for each text the disclosing terms beside its entities.
-
-    ``base`` is a written table of the rows of ``docs`` with _key and _mentions. added is
-    array<struct<s, k, e, remove>>, with k one more than that of the last kind.
-    """
-    texts = base.where("_key IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("copies"), F.first("_mentions").alias("_mentions"))
-    seen = texts.select("_key", "copies", F.explode("_mentions").alias("m")).select("_key", "copies", "m.entity", "m.terms")
-    entities = seen.select("_key", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    beside = seen.select("_key", "copies", "entity", F.explode("terms").alias("t")).select("_key", "copies", "entity", "t.term", "t.s", "t.e")
-    pairs = beside.select("_key", "copies", "entity", "term").distinct().groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts"))
+def disclosing_terms(docs: DataFrame) -> DataFrame:
+    """A written table (term, remove) of the terms whose disclosure of a class of entities is GENERALISE or more."""
+    held = F.array_distinct(F.flatten(F.transform("_spans", _classes)))
+    found = scan(docs, []).where(F.size("_spans") > 0)
+    found = found.select(_key(F.col("_text")).alias("_key"), held.alias("classes"), F.array_distinct(F.transform(_places(F.col("_text"), F.col("_spans")), lambda w: w["term"])).alias("terms"))
+    texts = found.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"), F.first("classes").alias("classes"), F.first("terms").alias("terms"))
+    texts = materialize(texts, "pii-texts")
+    n = docs.count()
+    classes = texts.select("copies", F.explode("classes").alias("class")).groupBy("class").agg(F.sum("copies").alias("n_e"), F.count(F.lit(1)).alias("texts"))
+    classes = materialize(classes.where((F.col("texts") >= MIN_TEXTS) & (F.col("n_e") < n)).select("class", "n_e"), "pii-classes")
+    beside = texts.select("copies", "terms", F.explode("classes").alias("class")).join(classes.select("class"), "class", "left_semi")
+    pairs = beside.select("copies", "class", F.explode("terms").alias("term")).groupBy("class", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts"))
     pairs = materialize(pairs.where(F.col("texts") >= MIN_TEXTS), "term-pairs")
     counts = _term_counts(docs, pairs.select("term").distinct())
-    n = base.count()
     disclosure = 1 - F.log(F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))) / F.log(F.col("n_e") / F.lit(float(n)))
-    flagged = pairs.join(counts, "term").join(entities, "entity").where(F.col("n_e") < n).withColumn("d", disclosure).where(F.col("d") >= GENERALISE)
-    hit = beside.join(flagged.select("entity", "term", "d"), ["entity", "term"])
-    span = F.struct("s", F.lit(len(KINDS)).alias("k"), "e", "remove")
-    return hit.groupBy("_key", "s", "e").agg((F.max("d") >= REMOVE).alias("remove")).groupBy("_key").agg(F.array_sort(F.collect_list(span)).alias("added"))
+    flagged = pairs.join(counts, "term").join(classes, "class").groupBy("term").agg(F.max(disclosure).alias("d")).where(F.col("d") >= GENERALISE)
+    return materialize(flagged.select("term", (F.col("d") >= REMOVE).alias("remove")), "pii-terms")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a written table, to be broadcast if it has BROADCAST_ROWS rows or fewer."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _marked(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` (a scan of ``docs``) and added: array<struct<s, k, e, remove>>, all places of disclosing terms.
+
+    k is one more than that of the last kind.
+    """
+    text = F.coalesce("text", F.lit(""))
+    words = docs.select(_key(text).alias("_key"), F.explode(_words(text)).alias("term")).join(_small(disclosing_terms(docs)), "term")
+    hits = words.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "remove"))).alias("_hits"))
+    hits = materialize(hits, "pii-hits")
+    joined = found.withColumn("_k", _key(F.col("_text"))).join(_small(hits), F.col("_k") == F.col("_key"), "left")
+    places = F.filter(_places(F.col("_text"), F.col("_spans")), lambda w: F.map_contains_key("_hits", w["term"]))
+    spans = F.transform(places, lambda w: F.struct(w["s"].alias("s"), F.lit(len(KINDS)).alias("k"), w["e"].alias("e"), F.element_at("_hits", w["term"]).alias("remove")))
+    return joined.withColumn("added", F.when(F.col("_hits").isNotNull(), spans).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,remove:boolean>>")))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -186,16 +203,11 @@ def find_pii(docs: DataFrame) -> DataFrame:
     A null or empty text has no spans (the checksum is of no bytes). Rows with equal texts
     have equal spans; rows with equal or null ids are told apart by nothing but their text.
     """
-    found = _mentions(scan(docs, ["doc_id"]))
+    found = _marked(docs, scan(docs, ["doc_id"]))
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    slim = F.transform("_spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    base = materialize(found.select("doc_id", *counts, F.sha2(_joined(F.col("_spans")), 256).alias("base_sha256"), slim.alias("_spans"), "_key", "_mentions"), "pii")
-    added = disclosing_terms(docs, base)
-    names = ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256"]
-    none = base.where("_key IS NULL").select(*names, F.lit("").alias("spans"), F.lit(0).cast("long").alias("n_term"))
-    terms = F.coalesce(F.transform("added", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))), F.array().cast("array<struct<s:int,k:int,e:int>>"))
-    some = base.where("_key IS NOT NULL").join(added, "_key", "left").select(*names, _joined(F.concat("_spans", terms)).alias("spans"), F.size(terms).cast("long").alias("n_term"))
-    return none.unionByName(some)
+    slim = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    spans = _joined(F.concat(slim("_spans"), slim("added"))).alias("spans")
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("_spans")), 256).alias("base_sha256"), spans, F.size("added").cast("long").alias("n_term"))
 
 
 def _redacted(text: Column, spans: Column) -> Column:
@@ -224,18 +236,11 @@ def _redacted(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with entities and disclosing terms replaced in text; a null text stays null."""
-    base = materialize(_mentions(scan(docs, [])).select("_key", "_mentions"), "pii-mentions")
-    added = materialize(disclosing_terms(docs, base), "pii-terms")
     names = docs.columns
     found = scan(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")), ["_row"])  # no name of docs can clash
-    found = found.withColumn("_k", F.when(F.size("_spans") > 0, F.md5(F.encode("_text", "UTF-8"))))
-    if added.count() <= BROADCAST_ROWS:
-        joined = found.join(F.broadcast(added), F.col("_k") == F.col("_key"), "left")
-    else:  # texts without spans keep out of the shuffle
-        joined = found.where("_k IS NOT NULL").join(added, F.col("_k") == F.col("_key"), "left").unionByName(found.where("_k IS NULL"), allowMissingColumns=True)
-    span = "array<struct<s:int,k:int,e:int,remove:boolean>>"
+    joined = _marked(docs, found)
     base_part = F.transform("_spans", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.lit(False).alias("remove")))
-    spans = F.concat(base_part, F.coalesce(F.col("added"), F.array().cast(span)))
+    spans = F.concat(base_part, F.col("added"))
     new = F.when(F.col("_row.text").isNotNull(), _redacted(F.col("_text"), spans))
     return joined.select(*[new.alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])
 
