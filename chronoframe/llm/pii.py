@@ -1,8 +1,9 @@
 """Personal data: base patterns, and terms that reveal them by the corpus's statistics.
 
 Base entities (e-mail and IP addresses, payment cards, phone numbers) are found by patterns.
-Terms in the same texts can reveal them too. How strongly a term t reveals an entity e is
-estimated from co-occurrence over all documents: with p(e) the share of documents that hold
+Terms in the same texts can reveal them too. Most entities are rare, so terms are also counted
+against groups of them: their kind, mail domain, network, card issuer or phone area. How
+strongly a term t reveals an entity or group e is estimated from co-occurrence over all documents: with p(e) the share of documents that hold
 e, and p(e|t) the share of the documents with t that hold e, the disclosure is
 ``1 - log p(e|t) / log p(e)``, the pointwise mutual information in units of e's
 information content: 0 for a term that tells nothing, 1 for one that tells everything. Terms
@@ -122,8 +123,20 @@ def _entity(x: Column) -> Column:
 
 
 def _classes(x: Column) -> Column:
-    """What an entity is counted under."""
-    return F.array(_entity(x))
+    """What an entity is counted under: itself, its kind, and the groups between that it belongs to.
+
+    They are the mail domain, the first two and three parts of an IP address, a card's first six digits and a phone's first four.
+    """
+    group = lambda name, value: F.concat(F.lit(f"{name}:"), value)
+    of_kind = [
+        F.array(group("domain", F.lower(F.substring_index(x["m"], "@", -1)))),
+        F.array(group("net2", F.substring_index(x["m"], ".", 2)), group("net3", F.substring_index(x["m"], ".", 3))),
+        F.array(group("issuer", F.substring(_digits(x["m"]), 1, 6))),
+        F.array(group("area", F.substring(_digits(x["m"]), 1, 4))),
+    ]
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["k"] + 1)
+    groups = F.when(x["k"] == 0, of_kind[0]).when(x["k"] == 1, of_kind[1]).when(x["k"] == 2, of_kind[2]).otherwise(of_kind[3])
+    return F.concat(F.array(_entity(x), kind), groups)
 
 
 def scan(docs: DataFrame, keep: list[str]) -> DataFrame:

@@ -18,3 +18,16 @@ def test_terms_far_from_the_entity_and_without_it(spark):
     assert all(got[i].spans == "" for i in got if i >= 20)
     clean = {r.doc_id: r.text.lower() for r in pii.sanitise(df).collect()}
     assert not any("zorblax" in t for t in clean.values())
+
+
+def test_terms_of_entities_that_occur_once(spark):
+    data = [(i, f"{filler(i)} hotline +1 555 010 {1000 + i}") for i in range(4)] + [(10 + i, f"{filler(i)} sysop at 10.20.{i}.7") for i in range(4)]
+    data += [(20 + i, f"{filler(i)} payroll p{i}@corp.example") for i in range(4)] + [(30, "the payroll")] + [(40 + i, filler(i)) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(df).collect()}
+    texts = dict(data)
+    for ids, word in ((range(4), "hotline"), (range(10, 14), "sysop"), ([*range(20, 24), 30], "payroll")):
+        for i in ids:
+            s = texts[i].index(word)
+            assert f"term:{s}:{s + len(word)}" in got[i].spans and got[i].n_term == 1
+    assert all(got[i].spans == "" for i in got if i >= 40)
