@@ -350,7 +350,7 @@ query("outliers_double_mad_batch", f"WITH {EVENTS}, {FENCES['double-mad']}, {FEN
 query("outliers_iqr_simple", f"WITH {EVENTS}, {FENCES['iqr']}, {FENCE} SELECT * FROM ({SCORE}) WHERE signal = 1")(lambda s, d: fenced_outliers(event_samples(s, d), range_query(), "iqr", direction="positive", output="simple"))
 query("outliers_mad_cleaned", f"WITH {EVENTS}, {FENCES['mad']}, {FENCE} SELECT key, ts, value FROM ({SCORE}) WHERE signal = 0")(lambda s, d: outliers(event_samples(s, d), range_query(), "mad", output="cleaned"))
 for _method in ("cusum", "ewma", "smoothed-zscore", "esd", "rcf"):
-    query(f"outliers_{_method.replace('-', '_')}")(lambda s, d, m=_method: outliers(event_samples(s, d).where(F.col("key").startswith("click:")), range_query(), m, **({"trees": 20} if m == "rcf" else {})))
+    query(f"outliers_{_method.replace('-', '_')}")(lambda s, d, m=_method: outliers(event_samples(s, d), range_query(), m))
 query("outliers_seasonal")(lambda s, d: outliers(scan(order_samples(s, d), range_query(aggregate=aggregation("sum", "7d", empty=True))).withColumnRenamed("sum", "value"), range_query(), "modified-zscore", seasonality=[52]))
 
 
