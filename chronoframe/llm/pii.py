@@ -9,16 +9,19 @@ e, and p(e|t) the share of the documents with t that hold e, the disclosure is
 information content: 0 for a term that tells nothing, 1 for one that tells everything. Terms
 at ``REMOVE`` or above are removed, those at ``GENERALISE`` or above replaced by their kind,
 wherever they stand, in texts without the entity too. Only pairs that ``MIN_TEXTS`` different
-texts support count, so that copies of one text prove nothing.
+texts support count, so that copies of one text prove nothing; and who sees the term must be able to
+conclude the entity with ``CONFIDENCE`` or more, so that a term of many texts, few of them with the
+entity, stays: that is asked of the lower end (Wilson, ``Z`` standard errors) of p(e|t), as few texts may agree by chance.
 
 Only DataFrame functions are used. The patterns give the same matches as plain ones, but
 consume runs of characters at once (possessive, and starting only where a run starts), so
 that a long text costs time in proportion. Places come from the pieces between matches.
 
 Scale: texts are scanned where they are read, once to count and once to mark; the terms of texts
-with entities go to a written table that is small against the texts. Terms are counted over all
-texts only if they are candidates; candidates, disclosing terms and the texts that hold them are
-broadcast if they are ``BROADCAST_ROWS`` or fewer, and joined by a shuffle beyond that.
+with entities go to a written table that is small against the texts. All terms are counted, in each
+task before the shuffle; candidates then meet the counts, one row a term. Disclosing terms and the
+places of the texts that hold them are broadcast if they take ``BROADCAST_BYTES`` or less, and
+joined by a shuffle beyond that.
 """
 
 from __future__ import annotations
@@ -39,11 +42,13 @@ PATTERNS = {
 #: What a text must hold for a pattern to be tried on it.
 HINTS = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 TERM = r"[\p{L}\p{N}]++"
+BETWEEN_TERMS = r"[^\p{L}\p{N}]++"
 MIN_TERM = 3
 MIN_TEXTS = 3
 GENERALISE, REMOVE = 0.8, 0.95
-BROADCAST_ROWS = 100_000
-_STEP = 256
+CONFIDENCE, Z = 0.5, 1.28
+BROADCAST_BYTES = 16 << 20
+_STEP = 32
 
 
 def _bind(value: Column, use) -> Column:
@@ -51,32 +56,34 @@ def _bind(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """array<struct<s, e, m>>: start, end (code points, end exclusive) and text of all matches.
+def match_spans(text: Column, pattern: str, keep=None) -> Column:
+    """array<struct<s, e, m>>: start, end (code points, end exclusive) and text of all matches, or of those that keep(m) holds for.
 
-    Lengths are summed up in steps of some hundred matches, as appending to an array copies it.
+    Lengths are summed up in blocks of some matches, and then over the blocks, as appending to an array copies it.
     """
     span = "array<struct<s:int,e:int,m:string>>"
     state = lambda at, out: F.struct(at.cast("int").alias("at"), out.alias("out"))
+    moved = lambda x, by: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e"), x["m"].alias("m"))
 
     def one(acc, x):
-        s = acc["at"] + F.length(x["p"])
-        return _bind(s, lambda s: state(s + F.length(x["m"]), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"))))))
+        def added(s):
+            longer = F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + F.length(x["m"])).alias("e"), x["m"].alias("m"))))
+            return state(s + F.length(x["m"]), longer if keep is None else F.when(keep(x["m"]), longer).otherwise(acc["out"]))
 
-    def step(acc, block):
-        inner = F.aggregate(block, state(acc["at"], F.array().cast(span)), one)
-        return _bind(inner, lambda i: state(i["at"], F.concat(acc["out"], i["out"])))
+        return _bind(acc["at"] + F.length(x["p"]), added)
+
+    def joined(blocks):  # (length, spans from the block's start) of each block
+        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, starts, lambda b, by: F.transform(b["out"], lambda x: moved(x, by))))
 
     def places(matches):
         pieces = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
         pairs = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-        blocks = _bind(pairs, lambda q: F.transform(F.sequence(F.lit(0), ((F.size(q) - 1) / _STEP).cast("int")), lambda b: F.slice(q, b * _STEP + 1, F.lit(_STEP))))
-        return F.aggregate(blocks, state(F.lit(0), F.array().cast(span)), step, lambda acc: acc["out"])
-
-    def blocks_of(matches):
-        return F.when(F.size(matches) > 0, places(matches)).otherwise(F.array().cast(span))
+        steps = lambda q: F.sequence(F.lit(0), ((F.size(q) - 1) / _STEP).cast("int"))
+        blocks = _bind(pairs, lambda q: F.transform(steps(q), lambda b: F.aggregate(F.slice(q, b * _STEP + 1, F.lit(_STEP)), state(F.lit(0), F.array().cast(span)), one)))
+        return _bind(blocks, joined)
 
-    return _bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), blocks_of)
+    return _bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, places(m)).otherwise(F.array().cast(span)))
 
 
 def _digits(m: Column) -> Column:
@@ -148,13 +155,14 @@ def scan(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def _words(text: Column) -> Column:
     """The distinct terms of a text, in lower case."""
-    words = F.filter(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.length(w) >= MIN_TERM)
+    words = F.filter(F.split(text, BETWEEN_TERMS), lambda w: F.length(w) >= MIN_TERM)
     return F.array_distinct(F.transform(words, F.lower))
 
 
-def _places(text: Column, spans: Column) -> Column:
-    """array<struct<term, s, e>> of the terms of a text outside its base spans."""
-    found = F.filter(match_spans(text, TERM), lambda w: (w["e"] - w["s"] >= MIN_TERM) & ~F.exists(spans, lambda y: (y["s"] < w["e"]) & (w["s"] < y["e"])))
+def _places(text: Column, spans: Column, keep=None) -> Column:
+    """array<struct<term, s, e>> of the terms of a text outside its base spans, or of those that keep(term) holds for."""
+    wanted = lambda m: (F.length(m) >= MIN_TERM) & (F.lit(True) if keep is None else keep(F.lower(m)))
+    found = F.filter(match_spans(text, TERM, wanted), lambda w: ~F.exists(spans, lambda y: (y["s"] < w["e"]) & (w["s"] < y["e"])))
     return F.transform(found, lambda w: F.struct(F.lower(w["m"]).alias("term"), w["s"].alias("s"), w["e"].alias("e")))
 
 
@@ -165,12 +173,15 @@ def _key(text: Column) -> Column:
 def _term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(term, n_t): in how many documents each candidate occurs."""
     words = docs.select(F.explode(_words(F.col("text"))).alias("term"))
-    if candidates.count() <= BROADCAST_ROWS:
-        words = words.join(F.broadcast(candidates), "term", "left_semi")
-        return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(candidates, "term", "left_semi")
 
 
+def _lower_end(p: Column, n: Column) -> Column:
+    """The lower end of Wilson's interval of a share p of n."""
+    z = Z * Z
+    return (p + z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z / (4 * n * n))) / (1 + z / n)
+
+
 def disclosing_terms(docs: DataFrame) -> DataFrame:
     """A written table (term, remove) of the terms whose disclosure of a class of entities is GENERALISE or more."""
     held = F.array_distinct(F.flatten(F.transform("_spans", _classes)))
@@ -185,14 +196,15 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     pairs = beside.select("copies", "class", F.explode("terms").alias("term")).groupBy("class", "term").agg(F.sum("copies").alias("n_te"), F.count(F.lit(1)).alias("texts"))
     pairs = materialize(pairs.where(F.col("texts") >= MIN_TEXTS), "term-pairs")
     counts = _term_counts(docs, pairs.select("term").distinct())
-    disclosure = 1 - F.log(F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))) / F.log(F.col("n_e") / F.lit(float(n)))
-    flagged = pairs.join(counts, "term").join(classes, "class").groupBy("term").agg(F.max(disclosure).alias("d")).where(F.col("d") >= GENERALISE)
+    p = F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))
+    disclosure = 1 - F.log(p) / F.log(F.col("n_e") / F.lit(float(n)))
+    flagged = pairs.join(counts, "term").where(_lower_end(p, F.col("n_t")) >= CONFIDENCE).join(classes, "class").groupBy("term").agg(F.max(disclosure).alias("d")).where(F.col("d") >= GENERALISE)
     return materialize(flagged.select("term", (F.col("d") >= REMOVE).alias("remove")), "pii-terms")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, a written table, to be broadcast if it has BROADCAST_ROWS rows or fewer."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """``df``, a written table, to be broadcast if its rows, of ``size`` bytes each, are BROADCAST_BYTES or less in all."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def _marked(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -201,11 +213,11 @@ def _marked(docs: DataFrame, found: DataFrame) -> DataFrame:
     k is one more than that of the last kind.
     """
     text = F.coalesce("text", F.lit(""))
-    words = docs.select(_key(text).alias("_key"), F.explode(_words(text)).alias("term")).join(_small(disclosing_terms(docs)), "term")
+    words = docs.select(_key(text).alias("_key"), F.explode(_words(text)).alias("term")).join(_small(disclosing_terms(docs), F.octet_length("term") + 16), "term")
     hits = words.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "remove"))).alias("_hits"))
     hits = materialize(hits, "pii-hits")
-    joined = found.withColumn("_k", _key(F.col("_text"))).join(_small(hits), F.col("_k") == F.col("_key"), "left")
-    places = F.filter(_places(F.col("_text"), F.col("_spans")), lambda w: F.map_contains_key("_hits", w["term"]))
+    joined = found.withColumn("_k", _key(F.col("_text"))).join(_small(hits, F.aggregate(F.map_keys("_hits"), F.lit(64), lambda n, t: n + F.octet_length(t) + 16)), F.col("_k") == F.col("_key"), "left")
+    places = _places(F.col("_text"), F.col("_spans"), lambda term: F.map_contains_key("_hits", term))
     spans = F.transform(places, lambda w: F.struct(w["s"].alias("s"), F.lit(len(KINDS)).alias("k"), w["e"].alias("e"), F.element_at("_hits", w["term"]).alias("remove")))
     return joined.withColumn("added", F.when(F.col("_hits").isNotNull(), spans).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,remove:boolean>>")))
 

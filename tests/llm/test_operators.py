@@ -612,5 +612,5 @@ def test_sanitise_removes_all_base_spans(spark, docs):
 def test_broadcast_and_shuffle_forms_agree(spark, docs, monkeypatch):
     key = lambda df: sorted(map(str, df.collect()))
     a, b = key(pii.find_pii(docs)), key(pii.sanitise(docs))
-    monkeypatch.setattr(pii, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", -1)
     assert key(pii.find_pii(docs)) == a and key(pii.sanitise(docs)) == b
