@@ -117,12 +117,12 @@ def _shards(texts: list[bytes | None], shard_words: int) -> Iterator[tuple[int,
         yield first, rows
 
 
-def _search_shard(rows: list[list[bytes]], blocks, window: int) -> tuple[np.ndarray, np.ndarray, list[set[str]], list[tuple]]:
-    """Words hit and longest match of each row, its items, and its matches (row, item, item word, word, words)."""
+def _search_shard(rows: list[list[bytes]], blocks, window: int) -> tuple[np.ndarray, np.ndarray, list[set[str]], list[tuple], np.ndarray]:
+    """Words hit and longest match of each row, its items, its matches (row, item, item word, word, words), and whether a whole window occurs in it."""
     lengths = np.array([len(r) for r in rows], np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths + window)])
     hits, items, matches, longest = np.zeros(starts[-1] + 1, np.int64), [set() for _ in rows], [], np.zeros(len(rows), np.int64)
-    gap = [b""] * window
+    gap, whole = [b""] * window, np.zeros(len(rows), bool)
     for block in blocks:
         ids = np.fromiter(map(block.vocabulary.get, chain.from_iterable(chain(r, gap) for r in rows), repeat(0)), np.uint32, starts[-1])
         where, item, offset, k = block.search(ids)
@@ -130,6 +130,7 @@ def _search_shard(rows: list[list[bytes]], blocks, window: int) -> tuple[np.ndar
             continue
         hits += np.bincount(where, minlength=len(hits)) - np.bincount(where + k, minlength=len(hits))
         row = np.searchsorted(starts, where, "right") - 1
+        whole[row[k == window]] = True
         order = np.lexsort((where, where - offset, item))
         where, item, offset, k, row = (x[order] for x in (where, item, offset, k, row))
         new = np.concatenate([[True], (item[1:] != item[:-1]) | (where[1:] != where[:-1] + 1) | (offset[1:] != offset[:-1] + 1)])
@@ -140,7 +141,7 @@ def _search_shard(rows: list[list[bytes]], blocks, window: int) -> tuple[np.ndar
             longest[r] = max(longest[r], n)
             matches.append((r, block.ids[item[a]], int(offset[a]), int(where[a] - starts[r]), n))
     hit = np.concatenate([[0], np.cumsum(np.cumsum(hits) > 0)])
-    return hit[starts[:-1] + lengths] - hit[starts[:-1]], longest, items, matches
+    return hit[starts[:-1] + lengths] - hit[starts[:-1]], longest, items, matches, whole
 
 
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int):
@@ -186,7 +187,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         for batch in small(batches):
             ids = batch.column(0)
             for first, rows in _shards(_texts(batch), shard_words):
-                n_hit, longest, items, _ = _search_shard(rows, blocks(), window)
+                n_hit, longest, items, _, _ = _search_shard(rows, blocks(), window)
                 n_words = [len(r) for r in rows]
                 digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
                 bad = [_contaminated(h, n) for h, n in zip(n_hit.tolist(), n_words, strict=True)]
@@ -212,15 +213,20 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated."""
+    """The rows of ``docs``, all columns, that hold no whole window of the benchmark.
+
+    One verbatim window is enough, however long the document. Items of fewer words than a window say little by
+    themselves, so a document that holds only such ones goes if they are a twentieth of its words or more.
+    Null and empty texts stay, repeated rows are judged one by one, an empty benchmark removes nothing.
+    """
     blocks = _blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             keep: list[bool] = []
             for _, rows in _shards(_texts(batch), shard_words):
-                n_hit = _search_shard(rows, blocks(), window)[0]
-                keep += [not _contaminated(h, len(r)) for h, r in zip(n_hit.tolist(), rows, strict=True)]
+                n_hit, *_, whole = _search_shard(rows, blocks(), window)
+                keep += [not (w or _contaminated(h, len(r))) for w, h, r in zip(whole.tolist(), n_hit.tolist(), rows, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
