@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,11 +71,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that a worker holds few texts as Python objects at a time."""
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that a worker holds few texts as Python objects at a time.
+
+    A batch has at most ``rows`` rows and ``size`` bytes of strings; a longer row is a batch by itself.
+    """
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        lengths = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type):
+                lengths += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+        ends, first = np.cumsum(lengths), 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, min(first + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def broadcast_if_small(df: DataFrame, size: Column, most: int = 16 << 20) -> DataFrame:
+    """``df``, a written table, to be broadcast if its rows, of ``size`` bytes each, are ``most`` or less in all."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import broadcast_if_small, materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A run starts after another character or where the match before it ended.
@@ -202,21 +202,16 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     return materialize(flagged.select("term", (F.col("d") >= REMOVE).alias("remove")), "pii-terms")
 
 
-def _small(df: DataFrame, size: Column) -> DataFrame:
-    """``df``, a written table, to be broadcast if its rows, of ``size`` bytes each, are BROADCAST_BYTES or less in all."""
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
-
-
 def _marked(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``found`` (a scan of ``docs``) and added: array<struct<s, k, e, remove>>, all places of disclosing terms.
 
     k is one more than that of the last kind.
     """
     text = F.coalesce("text", F.lit(""))
-    words = docs.select(_key(text).alias("_key"), F.explode(_words(text)).alias("term")).join(_small(disclosing_terms(docs), F.octet_length("term") + 16), "term")
+    words = docs.select(_key(text).alias("_key"), F.explode(_words(text)).alias("term")).join(broadcast_if_small(disclosing_terms(docs), F.octet_length("term") + 16, BROADCAST_BYTES), "term")
     hits = words.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "remove"))).alias("_hits"))
     hits = materialize(hits, "pii-hits")
-    joined = found.withColumn("_k", _key(F.col("_text"))).join(_small(hits, F.aggregate(F.map_keys("_hits"), F.lit(64), lambda n, t: n + F.octet_length(t) + 16)), F.col("_k") == F.col("_key"), "left")
+    joined = found.withColumn("_k", _key(F.col("_text"))).join(broadcast_if_small(hits, F.aggregate(F.map_keys("_hits"), F.lit(64), lambda n, t: n + F.octet_length(t) + 16), BROADCAST_BYTES), F.col("_k") == F.col("_key"), "left")
     places = _places(F.col("_text"), F.col("_spans"), lambda term: F.map_contains_key("_hits", term))
     spans = F.transform(places, lambda w: F.struct(w["s"].alias("s"), F.lit(len(KINDS)).alias("k"), w["e"].alias("e"), F.element_at("_hits", w["term"]).alias("remove")))
     return joined.withColumn("added", F.when(F.col("_hits").isNotNull(), spans).otherwise(F.array().cast("array<struct<s:int,k:int,e:int,remove:boolean>>")))
