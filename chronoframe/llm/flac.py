@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small, spread, table
+from .common import materialize, small, spread, table
 
 BLOCK = 4096
 RATE = 16_000
@@ -491,27 +491,26 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """Stores every text, reads the stored bytes back, and describes both; see the columns below.
+    """Stores every text in a media column in the shared folder, reads the stored bytes back, and describes both; see the columns below.
 
-    A null text is empty; the payload of an empty text is 64 zeros. Equal texts give equal rows.
+    A null text is empty; the payload of an empty text is 64 zeros. Equal texts give equal rows, repeated and null ids
+    one row for each row, an empty table none. Further columns are left aside.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    stored = materialize(encode_media(docs), "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 2048):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for first, part in _groups(texts):
-                files = encode_many(part)
-                rows = []
-                for text, media, blocks in zip(texts[first : first + len(part)], files, decode_many(files), strict=True):
-                    pcm = b"".join(b for _, b in blocks)
-                    rows.append((len(text or b""), len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), _feature(pcm)))
-                columns = [pa.array([r[k] for r in rows], pa.string() if k in (2, 5, 6) else pa.int64()) for k in range(7)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), *columns], names)
+        for batch in small(batches, 256):
+            files, rows = batch.column(2).to_pylist(), []
+            for media, blocks in zip(files, decode_many(files), strict=True):
+                pcm = b"".join(b for _, b in blocks)
+                rows.append((len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), _feature(pcm)))
+            columns = [pa.array([r[k] for r in rows], pa.string() if k in (1, 4, 5) else pa.int64()) for k in range(6)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
     types = ["long", "long", "string", "long", "long", "string", "string"]
     schema = ", ".join(f"{a} {b}" for a, b in zip(names, [docs.schema["doc_id"].dataType.simpleString(), *types], strict=True))
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return stored.mapInArrow(run, schema)
 
 
 def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
