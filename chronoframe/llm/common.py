@@ -34,12 +34,14 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests in
-    local mode) is a temporary folder of this machine taken.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset, local mode takes a temporary folder
+    of this machine; on a cluster that would not be shared, so it is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="chronoframe-"))
     return f"file://{_own_dir[0]}"
