@@ -18,7 +18,7 @@ from .operators import writes as W
 from .operators.joins import asof_join, join_series, joined_range, reduce_pairs
 from .operators.outliers.detect import fenced_outliers, outliers
 from .operators.ranges import last_sample, read_after, samples_at, scan, tail
-from .plans.query import aggregation, range_query
+from .plans.query import RangeQuery, aggregation, range_query
 from .sources.json_bulk import parse_bulk
 from .sources.tables import event_samples, event_series, lineitem_samples, millis, order_samples, read
 from .streaming import rules as R
@@ -52,6 +52,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _scan(query: RangeQuery) -> Query:
+    """A range query over the event series, of which only what the query asks for is read."""
+    return lambda s, d: scan(event_samples(s, d, query), query)
+
+
 def bucket(d: int, origin: int = 0, ts: str = "ts") -> str:
     return f"({ts} - ((({ts} - {origin}) % {d} + {d}) % {d}))"
 
@@ -62,21 +67,21 @@ def r6(x: str) -> str:
 
 # Range scans and filters
 
-query("range_window", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts BETWEEN {START} AND {END}")(lambda s, d: scan(event_samples(s, d), range_query(START, END)))
-query("range_inverted", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE false")(lambda s, d: scan(event_samples(s, d), range_query(END, START)))
-query("range_relative", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts BETWEEN {END} - 259200000 AND {END} - 172800000")(lambda s, d: scan(event_samples(s, d), range_query("-3d", "+1d", now=END)))
-query("range_by_value", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE value BETWEEN 20 AND 30.5")(lambda s, d: scan(event_samples(s, d), range_query(by_value=(20, 30.5))))
+query("range_window", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts BETWEEN {START} AND {END}")(_scan(range_query(START, END)))
+query("range_inverted", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE false")(_scan(range_query(END, START)))
+query("range_relative", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts BETWEEN {END} - 259200000 AND {END} - 172800000")(_scan(range_query("-3d", "+1d", now=END)))
+query("range_by_value", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE value BETWEEN 20 AND 30.5")(_scan(range_query(by_value=(20, 30.5))))
 STAMPS = [820454400000 + 30 * DAY * i for i in range(20)]
-query("range_by_ts", f"WITH {ITEMS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts IN ({', '.join(map(str, STAMPS))}) AND ts <= {STAMPS[15]}")(lambda s, d: scan(lineitem_samples(s, d), range_query("-", STAMPS[15], by_ts=STAMPS)))
-query("point_lookup", f"WITH {ITEMS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts IN ({STAMPS[1]}, {STAMPS[4]})")(lambda s, d: samples_at(lineitem_samples(s, d), [STAMPS[1], STAMPS[4]]))
-query("range_count", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts >= {START} QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts) <= 3")(lambda s, d: scan(event_samples(s, d), range_query(START, count=3)))
-query("revrange_count", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts <= {END} QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC) <= 3")(lambda s, d: scan(event_samples(s, d), range_query("-", END, count=3, reverse=True)))
+query("range_by_ts", f"WITH {ITEMS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts IN ({', '.join(map(str, STAMPS))}) AND ts <= {STAMPS[15]}")(lambda s, d, q=range_query("-", STAMPS[15], by_ts=STAMPS): scan(lineitem_samples(s, d, q), q))
+query("point_lookup", f"WITH {ITEMS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts IN ({STAMPS[1]}, {STAMPS[4]})")(lambda s, d: samples_at(lineitem_samples(s, d, range_query(by_ts=[STAMPS[1], STAMPS[4]])), [STAMPS[1], STAMPS[4]]))
+query("range_count", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts >= {START} QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts) <= 3")(_scan(range_query(START, count=3)))
+query("revrange_count", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts <= {END} QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC) <= 3")(_scan(range_query("-", END, count=3, reverse=True)))
 query("tail_n", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts DESC) <= 2")(lambda s, d: tail(event_samples(s, d), 2))
-query("get_last", f"WITH {EVENTS} SELECT key, max(ts) AS ts, {r6('max_by(value, ts)')} AS value FROM samples WHERE key = 'click:1' GROUP BY key")(lambda s, d: last_sample(event_samples(s, d).where("key = 'click:1'")))
+query("get_last", f"WITH {EVENTS} SELECT key, max(ts) AS ts, {r6('max_by(value, ts)')} AS value FROM samples WHERE key = 'click:1' GROUP BY key")(lambda s, d: last_sample(event_samples(s, d, key="click:1")))
 query("mget_last", f"WITH {EVENTS}, {SERIES} SELECT key, max(ts) AS ts, {r6('max_by(value, ts)')} AS value FROM samples JOIN series USING (key) WHERE name = 'view' AND tier = 't1' GROUP BY key")(
     lambda s, d: M.multi_get(event_samples(s, d), event_series(s, d), ['view{tier="t1"}'])
 )
-query("read_cursor", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts >= {START} AND value > 40 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts) <= 4")(lambda s, d: read_after(event_samples(s, d), START, ">", 40, 4))
+query("read_cursor", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM samples WHERE ts >= {START} AND value > 40 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts) <= 4")(lambda s, d: read_after(event_samples(s, d, range_query(START)), START, ">", 40, 4))
 query("read_newest", f"WITH {EVENTS} SELECT key, max(ts) AS ts, {r6('max_by(value, ts)')} AS value FROM samples GROUP BY key")(lambda s, d: read_after(event_samples(s, d), "+"))
 
 # Aggregators: value by SQL, and the test whether a bucket is reported
@@ -99,7 +104,7 @@ def _agg_query(text: str, sql: str):
     column = {"count": "countif", "sum": "sumif"}.get(word, word) if "(" in text else word
     column = column.replace(".", "_")
     source = f"WITH {EVENTS}, base AS (SELECT *, {bucket(2 * DAY)} AS b FROM samples WHERE ts >= {START}) SELECT key, b AS ts, {r6(sql)} AS \"{column}\" FROM {PAIR} GROUP BY key, b"
-    query(f"agg_{name}", source)(lambda s, d: scan(event_samples(s, d), range_query(START, aggregate=aggregation([text], "2d"))))
+    query(f"agg_{name}", source)(_scan(range_query(START, aggregate=aggregation([text], "2d"))))
 
 
 for _text, _sql in AGG_SQL.items():
@@ -112,19 +117,19 @@ query(
     f"WITH {EVENTS}, base AS (SELECT key, {bucket(DAY)} AS b, value, ts FROM samples) SELECT key, b AS ts, {r6('sum(value) FILTER (value <= 60)')} AS sum, count(*) FILTER (value <= 60)::DOUBLE AS count, {r6('max_by(value, ts) FILTER (value <= 60)')} AS last FROM base GROUP BY key, b HAVING count(*) FILTER (value <= 60) > 0",
 )(lambda s, d: scan(event_samples(s, d).withColumn("value", F.when(F.col("value") > 60, NAN).otherwise(F.col("value"))), range_query(aggregate=aggregation("sum,count,last", "1d"))))
 query("agg_multi", f"WITH {EVENTS}, base AS (SELECT key, {bucket(DAY)} AS b, value FROM samples) SELECT key, b AS ts, {r6('avg(value)')} AS avg, {r6('max(value)')} AS max, count(*)::DOUBLE AS count FROM base GROUP BY key, b")(
-    lambda s, d: scan(event_samples(s, d), range_query(aggregate=aggregation("avg,max,count", "1d")))
+    _scan(range_query(aggregate=aggregation("avg,max,count", "1d")))
 )
 query("agg_align_start", f"WITH {EVENTS}, base AS (SELECT key, {bucket(DAY, START)} AS b, value FROM samples WHERE ts BETWEEN {START} AND {END}) SELECT key, b AS ts, {r6('sum(value)')} AS sum FROM base GROUP BY key, b")(
-    lambda s, d: scan(event_samples(s, d), range_query(START, END, aggregate=aggregation("sum", "1d", align="start")))
+    _scan(range_query(START, END, aggregate=aggregation("sum", "1d", align="start")))
 )
 query("agg_align_end", f"WITH {EVENTS}, base AS (SELECT key, {bucket(DAY, END)} AS b, value FROM samples WHERE ts BETWEEN {START} AND {END}) SELECT key, b + {DAY // 2} AS ts, {r6('min(value)')} AS min FROM base GROUP BY key, b")(
-    lambda s, d: scan(event_samples(s, d), range_query(START, END, aggregate=aggregation("min", "1d", align="+", report="mid")))
+    _scan(range_query(START, END, aggregate=aggregation("min", "1d", align="+", report="mid")))
 )
 query("agg_align_ts", f"WITH {EVENTS}, base AS (SELECT key, {bucket(7 * DAY, 12345)} AS b, value FROM samples) SELECT key, b + {7 * DAY} AS ts, {r6('avg(value)')} AS avg FROM base GROUP BY key, b")(
-    lambda s, d: scan(event_samples(s, d), range_query(aggregate=aggregation("avg", "1w", align=12345, report="end")))
+    _scan(range_query(aggregate=aggregation("avg", "1w", align=12345, report="end")))
 )
 query("agg_count_reverse", f"WITH {EVENTS}, base AS (SELECT key, {bucket(DAY)} AS b, value FROM samples) SELECT key, b AS ts, {r6('sum(value)')} AS sum FROM base GROUP BY key, b QUALIFY row_number() OVER (PARTITION BY key ORDER BY b DESC) <= 2")(
-    lambda s, d: scan(event_samples(s, d), range_query(count=2, reverse=True, aggregate=aggregation("sum", "1d")))
+    _scan(range_query(count=2, reverse=True, aggregate=aggregation("sum", "1d")))
 )
 EMPTY_SQL = f"""WITH {EVENTS}, passed AS (SELECT * FROM samples WHERE value BETWEEN 5 AND 95), inside AS (SELECT * FROM passed WHERE ts BETWEEN {START} AND {END}),
 ext AS (SELECT key, bool_or(ts < {START}) AS leads, bool_or(ts > {END}) AS trails, min(ts) FILTER (ts BETWEEN {START} AND {END}) AS lo, max(ts) FILTER (ts BETWEEN {START} AND {END}) AS hi FROM passed GROUP BY key),
@@ -133,7 +138,7 @@ spine AS (SELECT key, unnest(range({bucket(DAY // 2, 0, 'a')}, {bucket(DAY // 2,
 agg AS (SELECT key, {bucket(DAY // 2)} AS b, sum(value) AS sum, avg(value) AS avg, max_by(value, ts) AS last FROM inside GROUP BY 1, 2),
 seed AS (SELECT key, max_by(value, ts) AS seed FROM passed WHERE ts < {START - START % (DAY // 2)} GROUP BY key)
 SELECT key, b AS ts, {r6('coalesce(sum, 0)')} AS sum, {r6('avg')} AS avg, {r6('coalesce(last_value(last IGNORE NULLS) OVER (PARTITION BY key ORDER BY b), seed)')} AS last FROM spine LEFT JOIN agg USING (key, b) LEFT JOIN seed USING (key)"""
-query("agg_empty_fill", EMPTY_SQL)(lambda s, d: scan(event_samples(s, d), range_query(START, END, by_value=(5, 95), aggregate=aggregation("sum,avg,last", "12h", empty=True))))
+query("agg_empty_fill", EMPTY_SQL)(_scan(range_query(START, END, by_value=(5, 95), aggregate=aggregation("sum,avg,last", "12h", empty=True))))
 
 # Selectors and many series
 
@@ -154,7 +159,7 @@ SELECTORS = {
 for _name, (_texts, _sql) in SELECTORS.items():
     query(f"selector_{_name}", f"WITH {SERIES} SELECT key FROM series WHERE {_sql}")(lambda s, d, t=_texts: L.query_index(event_series(s, d), t))
 query("mrange", f"WITH {EVENTS}, {SERIES} SELECT key, ts, {r6('value')} AS value FROM samples JOIN series USING (key) WHERE name = 'click' AND ts BETWEEN {START} AND {END}")(
-    lambda s, d: M.multi_range(event_samples(s, d), event_series(s, d), ["click"], range_query(START, END))
+    lambda s, d, q=range_query(START, END): M.multi_range(event_samples(s, d, q), event_series(s, d), ["click"], q)
 )
 query("mrevrange_agg_count", f"WITH {EVENTS}, {SERIES} SELECT key, {bucket(DAY)} AS ts, {r6('avg(value)')} AS avg FROM samples JOIN series USING (key) WHERE tier = 't2' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY key ORDER BY {bucket(DAY)} DESC) <= 2")(
     lambda s, d: M.multi_range(event_samples(s, d), event_series(s, d), ['{tier="t2"}'], range_query(count=2, reverse=True, aggregate=aggregation("avg", "1d")))
@@ -178,25 +183,24 @@ query(
 query(
     "nrange_pivot",
     f"WITH {ITEMS}, t AS (SELECT DISTINCT ts FROM samples WHERE key IN ('AF','NF','RF')) SELECT t.ts AS ts, {r6('a.value')} AS v0, {r6('n.value')} AS v1, {r6('r.value')} AS v2, {r6('a.value')} AS v3 FROM t LEFT JOIN samples a ON a.ts = t.ts AND a.key = 'AF' LEFT JOIN samples n ON n.ts = t.ts AND n.key = 'NF' LEFT JOIN samples r ON r.ts = t.ts AND r.key = 'RF'",
-)(lambda s, d: M.pivot(lineitem_samples(s, d), ["AF", "NF", "RF", "AF"], range_query()))
+)(lambda s, d: M.pivot(lineitem_samples(s, d, keys=["AF", "NF", "RF"]), ["AF", "NF", "RF", "AF"], range_query()))
 query(
     "nrevrange_agg",
     f"WITH {ITEMS}, b AS (SELECT key, {bucket(30 * DAY)} AS b, avg(value) AS avg, count(*)::DOUBLE AS n FROM samples WHERE key IN ('AF','NO') GROUP BY 1, 2) SELECT b AS ts, {r6('max(avg) FILTER (key = $$NO$$)')} AS v0_avg, max(n) FILTER (key = 'NO') AS v0_count, {r6('max(avg) FILTER (key = $$AF$$)')} AS v1_avg, max(n) FILTER (key = 'AF') AS v1_count FROM b GROUP BY b ORDER BY b DESC LIMIT 40",
-)(lambda s, d: M.pivot(lineitem_samples(s, d), ["NO", "AF"], range_query(count=40, reverse=True, aggregate=aggregation("avg,count", "30d"))))
+)(lambda s, d: M.pivot(lineitem_samples(s, d, keys=["NO", "AF"]), ["NO", "AF"], range_query(count=40, reverse=True, aggregate=aggregation("avg,count", "30d"))))
 query("merge_streams", f"WITH {ITEMS} SELECT key, ts, {r6('value')} AS value, CASE key WHEN 'AF' THEN 0 ELSE 1 END AS source FROM samples WHERE key IN ('AF','NF')")(
-    lambda s, d: M.merge_streams(lineitem_samples(s, d).where("key = 'AF'"), lineitem_samples(s, d).where("key = 'NF'"))
+    lambda s, d: M.merge_streams(*(lineitem_samples(s, d, keys=[k]).where(F.col("key") == k) for k in ("AF", "NF")))
 )
 for _name, _not in (("has_samples", False), ("lacks_samples", True)):
     query(f"series_{_name}", f"WITH {EVENTS}, {SERIES} SELECT key FROM series WHERE name = 'error' AND key {'NOT ' if _not else ''}IN (SELECT key FROM samples WHERE ts BETWEEN {START} AND {START + DAY})")(
-        lambda s, d, n=_not: M.having_samples(M.select_series(event_series(s, d), ["error"]), event_samples(s, d), range_query(START, START + DAY), n).select("key")
+        lambda s, d, n=_not: M.having_samples(M.select_series(event_series(s, d), ["error"]), event_samples(s, d, range_query(START, START + DAY)), range_query(START, START + DAY), n).select("key")
     )
 
 # Joins
 
 
 def _pair(spark: SparkSession, sf_dir: str, a: str = "AF", b: str = "NF") -> tuple[DataFrame, DataFrame]:
-    items = lineitem_samples(spark, sf_dir)
-    return tuple(items.where(F.col("key") == k).select("ts", "value") for k in (a, b))
+    return tuple(lineitem_samples(spark, sf_dir, keys=[k]).where(F.col("key") == k).select("ts", "value") for k in (a, b))
 
 
 AB = f"WITH {ITEMS}, a AS (SELECT ts, value FROM samples WHERE key = 'AF'), b AS (SELECT ts, value FROM samples WHERE key = 'NF')"
@@ -224,7 +228,7 @@ assert set(OP_SQL) == set(BINARY)
 
 
 def _by_user(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    s = event_samples(spark, sf_dir).where(F.col("key").startswith(f"{kind}:"))
+    s = event_samples(spark, sf_dir, kind=kind)
     return s.select(F.split_part("key", F.lit(":"), F.lit(2)).alias("user"), "ts", "value")
 
 
@@ -285,7 +289,7 @@ query("ignore_repeats")(lambda s, d: W.drop_repeats(event_samples(s, d).withColu
 query(
     "increments",
     f"WITH {EVENTS}, st AS (SELECT * FROM samples WHERE ts < {START}), de AS (SELECT key, ts, value AS delta, row_number() OVER (PARTITION BY key ORDER BY ts) AS n FROM samples WHERE ts >= {START}), l AS (SELECT key, max_by(value, ts) AS v FROM st GROUP BY key) SELECT key, ts, {r6('coalesce(v, 0) + sum(delta) OVER (PARTITION BY key ORDER BY n)')} AS value FROM de LEFT JOIN l USING (key)",
-)(lambda s, d: W.increments(event_samples(s, d).where(F.col("ts") < START), event_samples(s, d).where(F.col("ts") >= START).select("key", "ts", F.col("value").alias("delta"), F.col("ts").alias("arrival"))))
+)(lambda s, d: W.increments(event_samples(s, d, range_query("-", START - 1)), event_samples(s, d, range_query(START)).select("key", "ts", F.col("value").alias("delta"), F.col("ts").alias("arrival"))))
 query("round_decimals", f"WITH {EVENTS} SELECT key, ts, round(value, 1) AS value FROM samples")(lambda s, d: W.rounded(event_samples(s, d), decimals=1))
 query("round_significant", f"WITH {ORDERS} SELECT key, ts, CASE WHEN value = 0 THEN 0 ELSE {r6('round(value * pow(10.0, 2 - floor(log10(abs(value))))) / pow(10.0, 2 - floor(log10(abs(value))))')} END AS value FROM samples")(lambda s, d: W.rounded(order_samples(s, d), significant=3))
 
@@ -314,18 +318,18 @@ query("series_info", f"WITH {EVENTS} SELECT key, count(*) AS total_samples, min(
 
 KEY = "click:1"
 OPEN = f"(SELECT {bucket(2 * DAY, 0, 'max(ts)')} FROM samples WHERE key = '{KEY}')"
-query("rule_compact", f"WITH {EVENTS} SELECT 'd' AS key, {bucket(2 * DAY)} AS ts, {r6('avg(value)')} AS value FROM samples WHERE key = '{KEY}' GROUP BY 2 HAVING {bucket(2 * DAY)} < {OPEN}")(lambda s, d: R.compact(event_samples(s, d), R.rule(KEY, "d", "avg", "2d")))
+query("rule_compact", f"WITH {EVENTS} SELECT 'd' AS key, {bucket(2 * DAY)} AS ts, {r6('avg(value)')} AS value FROM samples WHERE key = '{KEY}' GROUP BY 2 HAVING {bucket(2 * DAY)} < {OPEN}")(lambda s, d: R.compact(event_samples(s, d, key=KEY), R.rule(KEY, "d", "avg", "2d")))
 query(
     "rule_chain",
     f"WITH {EVENTS}, d1 AS (SELECT {bucket(2 * DAY)} AS ts, avg(value) AS value FROM samples WHERE key = '{KEY}' GROUP BY 1 HAVING {bucket(2 * DAY)} < {OPEN}), d2 AS (SELECT {bucket(6 * DAY)} AS ts, max(value) AS value FROM d1 GROUP BY 1 HAVING {bucket(6 * DAY)} < (SELECT {bucket(6 * DAY, 0, 'max(ts)')} FROM d1)) SELECT 'd1' AS key, ts, {r6('value')} AS value FROM d1 UNION ALL SELECT 'd2', ts, {r6('value')} FROM d2",
-)(lambda s, d: R.compact_all(event_samples(s, d), [R.rule("d1", "d2", "max", "6d"), R.rule(KEY, "d1", "avg", "2d")]))
+)(lambda s, d: R.compact_all(event_samples(s, d, key=KEY), [R.rule("d1", "d2", "max", "6d"), R.rule(KEY, "d1", "avg", "2d")]))
 query("rule_latest", f"WITH {EVENTS} SELECT 'd' AS key, {bucket(2 * DAY)} AS ts, {r6('sum(value)')} AS value FROM samples WHERE key = '{KEY}' GROUP BY 2")(
-    lambda s, d: R.latest(R.compact(event_samples(s, d), R.rule(KEY, "d", "sum", "2d")), event_samples(s, d), R.rule(KEY, "d", "sum", "2d"))
+    lambda s, d: R.latest(R.compact(event_samples(s, d, key=KEY), R.rule(KEY, "d", "sum", "2d")), event_samples(s, d, key=KEY), R.rule(KEY, "d", "sum", "2d"))
 )
 
 
 def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, r = event_samples(spark, sf_dir), R.rule(KEY, "d", "max", "2d")
+    s, r = event_samples(spark, sf_dir, key=KEY), R.rule(KEY, "d", "max", "2d")
     late = F.pmod("ts", F.lit(5)) == 0
     before = R.compact(s.where(~late), r)
     return R.refresh(before, s, s.where(late), r)
