@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import BINARY, nan
 from ..plans.query import Aggregation, RangeQuery
-from .ranges import first_rows, scan
+from .ranges import first_rows, join_null_safe, scan
 
 KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 CHUNK_MS = 86_400_000
@@ -34,18 +34,24 @@ def join_series(left: DataFrame, right: DataFrame, kind: str = "inner", by: Sequ
     return a.join(right.select(*keys, F.col("value").alias("right_value")), keys, KINDS[kind])
 
 
-def _carried(both: DataFrame, by: Sequence[str], forward: bool) -> DataFrame:
-    """Adds _found: the right sample (ts, value) that the sweep saw last."""
-    side = "_right"
-    up = Window.partitionBy(*by, "_chunk").orderBy(F.asc("_sort"), F.asc("_tie"))
-    down = Window.partitionBy(*by, "_chunk").orderBy(F.desc("_sort"), F.desc("_tie"))
-    here = F.last(side, True).over((up if forward else down).rowsBetween(Window.unboundedPreceding, 0))
-    pick = F.max if forward else F.min
-    ends = both.where(F.col(side).isNotNull()).groupBy(*by, "_chunk").agg(pick(side).alias("_end"))
-    chunks = both.select(*by, "_chunk").distinct().join(ends, [*by, "_chunk"], "left")
-    order = Window.partitionBy(*by).orderBy(F.asc("_chunk") if forward else F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select(*by, "_chunk", F.last("_end", True).over(order).alias("_carry"))
-    return both.join(chunks, [*by, "_chunk"]).withColumn("_found", F.coalesce(here, F.col("_carry"))).where(F.col(side).isNull())
+def _carried(both: DataFrame, by: Sequence[str], directions: dict[str, bool], strict: bool) -> DataFrame:
+    """The left rows, with a column for each of ``directions``: the right sample (ts, value) that its sweep, forward or not, saw last.
+
+    Both sweeps go over one shuffle by key and chunk; the chunks' ends are one row a chunk.
+    """
+    side = F.col("_right")
+    here, ends, carries = {}, [], {}
+    for name, forward in directions.items():
+        # at equal ts the right sample comes first in the sweep's direction, if it may match
+        tie = F.desc("_is_right") if not strict else F.asc("_is_right")
+        order = Window.partitionBy(*by, "_chunk").orderBy(F.asc("ts") if forward else F.desc("ts"), tie)
+        here[name] = F.last(side, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        ends.append((F.max if forward else F.min)(side).alias(f"_end{name}"))
+        chunks = Window.partitionBy(*by).orderBy(F.asc("_chunk") if forward else F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+        carries[f"_end{name}"] = F.last(f"_end{name}", True).over(chunks)
+    chunks = both.groupBy(*by, "_chunk").agg(*ends).withColumns(carries)
+    out = join_null_safe(both, chunks, [*by, "_chunk"])
+    return out.withColumns({name: F.coalesce(w, F.col(f"_end{name}")) for name, w in here.items()}).where(~F.col("_is_right"))
 
 
 def asof_join(left: DataFrame, right: DataFrame, direction: str = "previous", tolerance_ms: int | None = None, exact: bool = True, by: Sequence[str] = (), keep_unmatched: bool = False, chunk_ms: int = CHUNK_MS) -> DataFrame:
@@ -61,26 +67,17 @@ def asof_join(left: DataFrame, right: DataFrame, direction: str = "previous", to
         raise ValueError(f"unknown direction {direction!r}")
     sample = F.struct("ts", "value")
     none = F.lit(None).cast("struct<ts:bigint,value:double>")
-    # at equal ts, the right sample comes first in the sweep's direction where it may match
-    strict = not exact and direction != "nearest"
-
-    def sweep(forward: bool) -> DataFrame:
-        right_first = forward != strict
-        a = left.select(*by, "ts", "value", none.alias("_right"), F.lit(int(right_first)).alias("_tie"))
-        b = right.select(*by, "ts", "value", sample.alias("_right"), F.lit(int(not right_first)).alias("_tie"))
-        both = a.unionByName(b).withColumn("_chunk", F.floor(F.col("ts") / F.lit(chunk_ms))).withColumn("_sort", F.col("ts"))
-        return _carried(both, by, forward)
-
+    a = left.select(*by, "ts", "value", none.alias("_right"), F.lit(False).alias("_is_right"))
+    b = right.select(*by, "ts", "value", sample.alias("_right"), F.lit(True).alias("_is_right"))
+    both = a.unionByName(b).withColumn("_chunk", F.floor(F.col("ts") / F.lit(chunk_ms)))
     if direction == "nearest":
-        before = sweep(True).select(*by, "ts", "value", F.col("_found").alias("_before"))
-        after = sweep(False).select(*by, "ts", F.col("_found").alias("_after"))
-        both = before.join(after, [*by, "ts"])
+        swept = _carried(both, by, {"_before": True, "_after": False}, False)
         back, ahead = F.col("ts") - F.col("_before.ts"), F.col("_after.ts") - F.col("ts")
         later = ahead <= back if exact else (ahead < back) | (ahead == 0)
         found = F.when(F.col("_before").isNull() | later, F.coalesce("_after", "_before")).otherwise(F.col("_before"))
-        out = both.withColumn("_found", found)
+        out = swept.withColumn("_found", found)
     else:
-        out = sweep(direction == "previous")
+        out = _carried(both, by, {"_found": direction == "previous"}, not exact)
     hit = F.col("_found").isNotNull()
     if tolerance_ms is not None:
         hit = hit & (F.abs(F.col("ts") - F.col("_found.ts")) <= tolerance_ms)

@@ -17,6 +17,8 @@ from ..functions.numeric import nan
 from ..plans.query import Aggregation, RangeQuery
 
 BY = ("key",)
+#: Empty buckets are made, and values carried into them, in runs of so many.
+RUN = 4096
 
 
 def in_window(query: RangeQuery) -> Column:
@@ -49,6 +51,15 @@ def first_rows(df: DataFrame, n: int, by: Sequence[str], order: list[Column]) ->
     return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys, null keys being equal to each other; ``how`` is inner or left."""
+    other = right.select(*[F.col(k).alias(f"_other_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_other_{k}"))
+    return left.join(other, same, how).drop(*[f"_other_{k}" for k in keys])
+
+
 def _order(query: RangeQuery) -> list[Column]:
     return [F.desc("ts") if query.reverse else F.asc("ts")]
 
@@ -88,19 +99,28 @@ def _filled(samples: DataFrame, buckets: DataFrame, query: RangeQuery, by: Seque
     extent = extent.where(F.col("low").isNotNull() | (F.col("leads") & F.col("trails")))
     low = F.when(F.col("leads"), F.lit(w.start)).otherwise(F.col("low"))
     high = F.when(F.col("trails"), F.lit(w.end)).otherwise(F.col("high"))
-    spine = extent.select(*by, F.explode(F.sequence(bucket_start(low, agg.bucket_ms, origin), bucket_start(high, agg.bucket_ms, origin), F.lit(agg.bucket_ms).cast("long"))).alias("bucket"))
-    full = spine.join(buckets.withColumn("_real", F.lit(True)), [*by, "bucket"], "left")
+    d, run = F.lit(agg.bucket_ms).cast("long"), agg.bucket_ms * RUN
+    extent = extent.select(*by, bucket_start(low, agg.bucket_ms, origin).alias("_low"), bucket_start(high, agg.bucket_ms, origin).alias("_high"))
+    runs = extent.select(*by, "_low", "_high", F.explode(F.sequence(bucket_start(F.col("_low"), run, origin), bucket_start(F.col("_high"), run, origin), F.lit(run).cast("long"))).alias("_run"))
     carried = [a.column for a in agg.aggregators if a.name == "last"]
+    if carried:
+        # into a run goes the last value of the runs before it
+        ends = buckets.groupBy(*by, bucket_start(F.col("bucket"), run, origin).alias("_run")).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("bucket"))).alias(f"_end_{c}") for c in carried])
+        before = Window.partitionBy(*by).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+        runs = join_null_safe(runs, ends, [*by, "_run"], "left").withColumns({f"_end_{c}": F.last(f"_end_{c}", True).over(before) for c in carried})
+    first, last = F.greatest("_run", "_low"), F.least(F.col("_run") + F.lit(run - agg.bucket_ms), F.col("_high"))
+    spine = runs.select(*by, "_run", *[f"_end_{c}" for c in carried], F.explode(F.sequence(first, last, d)).alias("bucket"))
+    full = join_null_safe(spine, buckets.withColumn("_real", F.lit(True)), [*by, "bucket"], "left")
     if carried:
         seed = F.lit(None).cast("double")
         if w.start is not None:
             first_bucket = w.start - (w.start - origin) % agg.bucket_ms
             seeds = samples.where(F.col("ts") < first_bucket).groupBy(*by).agg(F.max_by("value", "ts").alias("_seed"))
-            full = full.join(seeds, list(by), "left")
+            full = join_null_safe(full, seeds, by, "left")
             seed = F.col("_seed")
-        before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+        here = Window.partitionBy(*by, "_run").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         for c in carried:
-            full = full.withColumn(c, F.coalesce(F.last(c, True).over(before), seed, nan()))
+            full = full.withColumn(c, F.coalesce(F.last(c, True).over(here), F.col(f"_end_{c}"), seed, nan()))
     fills = {a.column: a.empty for a in agg.aggregators if a.name != "last"}
     return full.select(*by, "bucket", *[F.when(F.col("_real"), F.col(a.column)).otherwise(fills[a.column]).alias(a.column) if a.column in fills else F.col(a.column) for a in agg.aggregators])
 

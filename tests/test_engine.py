@@ -269,3 +269,30 @@ def test_buckets_against_a_model(spark, rows, size, align):
     random.shuffle(rows)
     got = scan(samples(spark, *rows), range_query(aggregate=aggregation("sum,count,last,max", size, align=align))).collect()
     assert sorted((r.ts, r["sum"], r["count"], r["last"], r["max"]) for r in got) == sorted(model)
+
+
+def test_asof_keeps_rows_with_a_null_key(spark):
+    left = spark.createDataFrame([(None, 10, 1.0), (None, 10**9, 2.0), ("a", 10, 3.0), ("b", 5, 4.0)], "k string, ts long, value double")
+    right = spark.createDataFrame([(None, 8, 5.0), (None, 13, 6.0), ("a", 10, 7.0)], "k string, ts long, value double")
+    for direction, expected in (("previous", [5.0, 6.0, 7.0, None]), ("next", [6.0, None, 7.0, None]), ("nearest", [5.0, 6.0, 7.0, None])):
+        got = {r["left_value"]: r["right_value"] for r in asof_join(left, right, direction, by=["k"], keep_unmatched=True).collect()}
+        assert [got[v] for v in (1.0, 2.0, 3.0, 4.0)] == expected
+
+
+def test_nearest_shuffles_each_side_once_for_both_sweeps(spark):
+    left = spark.range(10).selectExpr("id AS ts", "id * 1.0D AS value", "'x' AS k")
+    plan = asof_join(left, left, "nearest", by=["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_empty_buckets_in_many_runs(spark, monkeypatch):
+    from chronoframe.operators import ranges
+
+    s = samples(spark, (0, 1), (7, 2), (95, 3), (400, 4)).unionByName(samples(spark, (50, 8), (60, 9), key=None))
+    q = range_query(5, 300, aggregate=aggregation("last,sum", 10, empty=True))
+    key = lambda: sorted(map(str, scan(s, q).collect()))
+    whole = key()
+    monkeypatch.setattr(ranges, "RUN", 3)
+    assert key() == whole and len(whole) == 31 + 2
+    values = {r.ts: (r["last"], r["sum"]) for r in scan(s, q).where("key IS NOT NULL").collect()}
+    assert values[0] == (2.0, 2.0) and values[80] == (2.0, 0.0) and values[90] == (3.0, 3.0) and values[300] == (3.0, 0.0)
