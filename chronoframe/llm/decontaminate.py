@@ -1,17 +1,21 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-Documents are cut into shards of some million words. Each shard gets a suffix array: its
+Documents are cut into shards of some hundred thousand words. Each shard gets a suffix array: its
 word positions sorted by the words that follow, as deep as a window is long. Every suffix
 of every benchmark item is looked up in it by binary search; the range that is found holds
-all places of its window. Runs of windows on one diagonal are the longest verbatim matches.
+all places of its window. Where windows follow each other, the longest verbatim match is looked up among the
+benchmark's own suffixes.
 
 Positions whose first four words start no window of the benchmark cannot be found by any
 search, so they are left out before sorting; the test is a hashed table that only errs on
 the side of keeping a position.
 
+Windows that many items share, such as a preamble, are one window: places are marked window by window, and items are
+listed by distinct sets of owners, so repeated items cost nothing but their names.
+
 Scale: each shard is worked on where it is read, so nothing is shuffled. The benchmark goes
-to the workers in blocks of at most ``BLOCK_BYTES`` of text, and every shard is searched for
-one block after the other, so its size does not have to fit anywhere at once.
+to the workers in blocks of at most ``BLOCK_BYTES`` of text, each a file that a worker reads when its turn comes; a shard is
+searched for one block after the other, so the benchmark's size does not have to fit anywhere at once.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,25 +69,33 @@ class TestBlock:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.window, self.ids, self.vocabulary = window, [i for i, _ in items], {}
+        self.texts = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.uint32) for _, text in items]
         by_length: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
-        for n, (_, text) in enumerate(items):
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.uint32)
+        for n, ids in enumerate(self.texts):
             if k := min(window, len(ids)):
                 rows = np.lib.stride_tricks.sliding_window_view(ids, k)
                 by_length[k].append((rows, np.stack([np.full(len(rows), n), np.arange(len(rows))], 1)))
-        self.tables, self.groups = {}, []
+        self.tables, self.groups, self.owned, classes = {}, [], [], {}
         for k, parts in sorted(by_length.items()):
             owners = np.concatenate([p[1] for p in parts])
             unique, which = np.unique(np.concatenate([p[0] for p in parts]), axis=0, return_inverse=True)
             order = np.argsort(which.ravel(), kind="stable")
             starts = np.searchsorted(which.ravel()[order], np.arange(len(unique) + 1))
-            self.groups.append((k, _keys(unique, window, 0), _keys(unique, window, 255), starts, owners[order]))
+            owners = owners[order]
+            # windows with the same items are of one class
+            of = np.empty(len(unique), np.int64)
+            for q in range(len(unique)):
+                who = tuple(dict.fromkeys(owners[starts[q] : starts[q + 1], 0].tolist()))
+                of[q] = classes.setdefault(who, len(classes))
+            self.groups.append((k, _keys(unique, window, 0), _keys(unique, window, 255), starts, owners, of))
             g = min(k, 4)
             seen = self.tables.setdefault(g, np.zeros(1 << _BITS, bool))
             seen[_gram(np.concatenate([np.pad(unique[:, :g], ((0, 0), (0, 4))), np.zeros((1, g + 4), np.uint32)]).ravel(), g)[:: g + 4][: len(unique)]] = True
+        self.owned = [{self.ids[i] for i in who} for who in classes]
+        self._suffixes: tuple[np.ndarray, bytes] | None = None
 
-    def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(place, item, place in the item, words) of every window found; ids ends with ``window`` zeros."""
+    def search(self, ids: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(words, places, windows) of all windows found, by the windows' length; ids ends with ``window`` zeros."""
         found: list[tuple] = []
         if self.groups:
             ids = ids.astype(np.uint32)
@@ -96,52 +108,150 @@ class TestBlock:
             keys = _keys(ids[at[:, None] + np.arange(self.window)], self.window, 0)
             order = np.argsort(keys, kind="stable")
             keys, suffixes = keys[order], at[order]
-            for k, low, high, starts, owners in self.groups:
+            for k, low, high, *_ in self.groups:
                 first, last = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
-                for q in np.flatnonzero(last > first):
-                    where, who = suffixes[first[q] : last[q]], owners[starts[q] : starts[q + 1]]
-                    found.append((np.repeat(where, len(who)), np.tile(who[:, 0], len(where)), np.tile(who[:, 1], len(where)), np.full(len(where) * len(who), k)))
-        return tuple(np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [()] * 4))
-
-
-def _shards(texts: list[bytes | None], shard_words: int) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(first row, the rows' words), as many rows as make a shard."""
-    first, rows, total = 0, [], 0
-    for i, text in enumerate(texts):
-        rows.append(words_of(text))
-        total += len(rows[-1])
-        if total >= shard_words:
-            yield first, rows
-            first, rows, total = i + 1, [], 0
-    if rows:
-        yield first, rows
-
-
-def _search_shard(rows: list[list[bytes]], blocks, window: int) -> tuple[np.ndarray, np.ndarray, list[set[str]], list[tuple], np.ndarray]:
-    """Words hit and longest match of each row, its items, its matches (row, item, item word, word, words), and whether a whole window occurs in it."""
-    lengths = np.array([len(r) for r in rows], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths + window)])
-    hits, items, matches, longest = np.zeros(starts[-1] + 1, np.int64), [set() for _ in rows], [], np.zeros(len(rows), np.int64)
-    gap, whole = [b""] * window, np.zeros(len(rows), bool)
+                n = last - first
+                if n.sum():
+                    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    found.append((k, suffixes[np.repeat(first, n) + within], np.repeat(np.arange(len(n)), n)))
+        return found
+
+    def _sorted_suffixes(self) -> tuple[np.ndarray, bytes]:
+        """The places of all items' words, by all words that follow in the item; and those words as bytes that sort alike."""
+        if self._suffixes is None:
+            end = np.array([0xFFFFFFFF], np.uint32)
+            words = np.concatenate([x for t in self.texts for x in (t, end)])
+            rank, reach, n = np.unique(words, return_inverse=True)[1].ravel(), 1, len(words)
+            ends = np.flatnonzero(words == end[0])
+            rank[ends] = rank.max() + np.arange(len(ends))  # items' ends differ, so that no order goes beyond them
+            while True:
+                ahead = np.zeros(n, np.int64)
+                ahead[: max(0, n - reach)] = rank[reach:] + 1
+                order = np.lexsort((ahead, rank))
+                new = np.concatenate([[0], np.cumsum((np.diff(rank[order]) != 0) | (np.diff(ahead[order]) != 0))])
+                rank[order] = new
+                if new[-1] == n - 1:
+                    break
+                reach *= 2
+            self._suffixes = order, words.astype(">u4").tobytes()
+        return self._suffixes
+
+    def longest(self, words: bytes, least: int) -> int:
+        """How many of the words, in bytes, stand verbatim in an item from any of the first places on; ``least`` of them do."""
+        order, test = self._sorted_suffixes()
+        size, best, p = len(words) // 4, least, 0
+        while size - p > best:
+            key = words[4 * p :]
+            low, high = 0, len(order)
+            while low < high:
+                mid = (low + high) // 2
+                s = 4 * int(order[mid])
+                if test[s : s + len(key)] < key:
+                    low = mid + 1
+                else:
+                    high = mid
+            for i in (low - 1, low):
+                if 0 <= i < len(order):
+                    s = 4 * int(order[i])
+                    best = max(best, _common(test, s, key))
+            p += 1
+        return best
+
+
+def _common(test: bytes, at: int, key: bytes) -> int:
+    """How many words of key stand in test from a place on."""
+    a = np.frombuffer(test, ">u4", min(len(key), len(test) - at) // 4, at)
+    differ = np.flatnonzero(a != np.frombuffer(key, ">u4", len(a)))
+    return int(differ[0]) if len(differ) else len(a)
+
+
+class Shard:
+    """The words of some rows as numbers, ``window`` zeros after each row."""
+
+    def __init__(self, window: int):
+        self.window, self.vocabulary, self.lengths, self.parts = window, defaultdict(count(1).__next__), [], []
+        self.size = 0
+
+    def add(self, text: bytes | None) -> None:
+        words = words_of(text)
+        self.lengths.append(len(words))
+        self.parts += [np.fromiter(map(self.vocabulary.__getitem__, words), np.uint32, len(words)), np.zeros(self.window, np.uint32)]
+        self.size += len(words)
+
+    def ids(self, block: TestBlock) -> np.ndarray:
+        """The words by the block's numbers, 0 for others."""
+        known = np.fromiter(map(block.vocabulary.get, self.vocabulary, repeat(0)), np.uint32, len(self.vocabulary))
+        return np.concatenate([np.zeros(1, np.uint32), known])[np.concatenate(self.parts)]
+
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(np.array(self.lengths, np.int64) + self.window)])
+
+
+def _shards(batches: Iterator[pa.RecordBatch], window: int, shard_words: int) -> Iterator[tuple[list[pa.RecordBatch], Shard]]:
+    """Batches whose texts hold about so many words together, and their shard; a batch is bounded in bytes or one long row."""
+    held, shard = [], Shard(window)
+    for batch in small(batches):
+        held.append(batch)
+        for text in _texts(batch):
+            shard.add(text)
+        if shard.size >= shard_words:
+            yield held, shard
+            held, shard = [], Shard(window)
+    if held:
+        yield held, shard
+
+
+class Found:
+    """What a shard's search finds in each row: words hit, items, whether a whole window occurs, the longest match."""
+
+    def __init__(self, shard: Shard, blocks: Iterator[TestBlock], names: bool = True):
+        starts, rows = shard.starts(), len(shard.lengths)
+        lengths = np.array(shard.lengths, np.int64)
+        hits = np.zeros(starts[-1] + 1, np.int64)
+        self.items, self.whole, self.longest = [set() for _ in range(rows)], np.zeros(rows, bool), np.zeros(rows, np.int64)
+        for block in blocks:
+            ids = shard.ids(block)
+            for (k, where, window), group in ((f, next(g for g in block.groups if g[0] == f[0])) for f in block.search(ids)):
+                hits += np.bincount(where, minlength=len(hits)) - np.bincount(where + k, minlength=len(hits))
+                row = np.searchsorted(starts, where, "right") - 1
+                if k == block.window:
+                    self.whole[row] = True
+                if not names:
+                    continue
+                for r, c in np.unique(np.stack([row, group[5][window]], 1), axis=0).tolist():
+                    self.items[r] |= block.owned[c]
+                np.maximum.at(self.longest, row, k)
+                if k == block.window:
+                    self._follow(block, ids, np.unique(where), starts)
+        hit = np.concatenate([[0], np.cumsum(np.cumsum(hits) > 0)])
+        self.n_words, self.n_hit = lengths, hit[starts[:-1] + lengths] - hit[starts[:-1]]
+
+    def _follow(self, block: TestBlock, ids: np.ndarray, where: np.ndarray, starts: np.ndarray) -> None:
+        """Lengthens the longest matches by the windows that follow each other."""
+        first = np.flatnonzero(np.diff(where, prepend=-2) != 1)
+        last = np.append(first[1:], len(where)) - 1
+        row = np.searchsorted(starts, where[first], "right") - 1
+        for r, a, b in zip(row.tolist(), where[first].tolist(), (where[last] + block.window).tolist(), strict=True):
+            if b - a > self.longest[r]:
+                self.longest[r] = block.longest(ids[a:b].astype(">u4").tobytes(), int(self.longest[r]))
+
+
+def _matches(shard: Shard, blocks: Iterator[TestBlock]) -> list[tuple]:
+    """All longest verbatim matches: (row, item, item word, word, words)."""
+    starts, out = shard.starts(), []
     for block in blocks:
-        ids = np.fromiter(map(block.vocabulary.get, chain.from_iterable(chain(r, gap) for r in rows), repeat(0)), np.uint32, starts[-1])
-        where, item, offset, k = block.search(ids)
-        if not len(where):
-            continue
-        hits += np.bincount(where, minlength=len(hits)) - np.bincount(where + k, minlength=len(hits))
-        row = np.searchsorted(starts, where, "right") - 1
-        whole[row[k == window]] = True
-        order = np.lexsort((where, where - offset, item))
-        where, item, offset, k, row = (x[order] for x in (where, item, offset, k, row))
-        new = np.concatenate([[True], (item[1:] != item[:-1]) | (where[1:] != where[:-1] + 1) | (offset[1:] != offset[:-1] + 1)])
-        ends = np.concatenate([np.flatnonzero(new)[1:], [len(new)]]) - 1
-        for a, b in zip(np.flatnonzero(new).tolist(), ends.tolist(), strict=True):
-            r, n = int(row[a]), int(where[b] - where[a] + k[b])
-            items[r].add(block.ids[item[a]])
-            longest[r] = max(longest[r], n)
-            matches.append((r, block.ids[item[a]], int(offset[a]), int(where[a] - starts[r]), n))
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(hits) > 0)])
-    return hit[starts[:-1] + lengths] - hit[starts[:-1]], longest, items, matches, whole
+        for (k, where, window), group in ((f, next(g for g in block.groups if g[0] == f[0])) for f in block.search(shard.ids(block))):
+            n = np.diff(group[3])[window]
+            who = group[4][np.repeat(group[3][window], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            where, item, offset = np.repeat(where, n), who[:, 0], who[:, 1]
+            order = np.lexsort((where, where - offset, item))
+            where, item, offset = where[order], item[order], offset[order]
+            row = np.searchsorted(starts, where, "right") - 1
+            new = np.concatenate([[True], (item[1:] != item[:-1]) | (where[1:] != where[:-1] + 1) | (offset[1:] != offset[:-1] + 1)])
+            ends = np.concatenate([np.flatnonzero(new)[1:], [len(new)]]) - 1
+            for a, b in zip(np.flatnonzero(new).tolist(), ends.tolist(), strict=True):
+                out.append((int(row[a]), block.ids[item[a]], int(offset[a]), int(where[a] - starts[row[a]]), int(where[b] - where[a]) + k))
+    return out
 
 
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int):
@@ -179,35 +289,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     Null and empty texts have no words and no hits; an item that is null or has no word has
     no window; an item repeated under one id counts once; a null item id counts as the empty
-    string; an empty benchmark hits nothing. Repeated documents are judged row by row.
+    string; an empty benchmark hits nothing. Repeated documents are judged row by row. A text of any length is searched whole.
     """
     blocks = _blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            ids = batch.column(0)
-            for first, rows in _shards(_texts(batch), shard_words):
-                n_hit, longest, items, _, _ = _search_shard(rows, blocks(), window)
-                n_words = [len(r) for r in rows]
-                digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-                bad = [_contaminated(h, n) for h, n in zip(n_hit.tolist(), n_words, strict=True)]
-                columns = [ids.slice(first, len(rows)), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(bad), pa.array(longest, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"])
+        for held, shard in _shards(batches, window, shard_words):
+            f = Found(shard, blocks())
+            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in f.items]
+            bad = [_contaminated(h, n) for h, n in zip(f.n_hit.tolist(), f.n_words.tolist(), strict=True)]
+            ids = pa.chunked_array([b.column(0) for b in held]).combine_chunks()
+            columns = [ids, pa.array(f.n_words, pa.int64()), pa.array(f.n_hit, pa.int64()), pa.array([len(x) for x in f.items], pa.int64()), pa.array(digest), pa.array(bad), pa.array(f.longest, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """All longest verbatim matches: doc_id, item_id (string), item_word, doc_word, n_words."""
+    """All longest verbatim matches: doc_id, item_id (string), item_word, doc_word, n_words; one row for each item that has the passage."""
     blocks = _blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            for first, rows in _shards(_texts(batch), shard_words):
-                found = _search_shard(rows, blocks(), window)[3]
-                at = pa.array([first + m[0] for m in found], pa.int64())
-                rest = [pa.array([m[i] for m in found], pa.string() if i == 1 else pa.int64()) for i in range(1, 5)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *rest], ["doc_id", "item_id", "item_word", "doc_word", "n_words"])
+        for held, shard in _shards(batches, window, shard_words):
+            found = _matches(shard, blocks())
+            at = pa.array([m[0] for m in found], pa.int64())
+            rest = [pa.array([m[i] for m in found], pa.string() if i == 1 else pa.int64()) for i in range(1, 5)]
+            ids = pa.chunked_array([b.column(0) for b in held]).combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids.take(at), *rest], ["doc_id", "item_id", "item_word", "doc_word", "n_words"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id string, item_word long, doc_word long, n_words long")
 
@@ -222,12 +330,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     blocks = _blocks(benchmark, window, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            keep: list[bool] = []
-            for _, rows in _shards(_texts(batch), shard_words):
-                n_hit, *_, whole = _search_shard(rows, blocks(), window)
-                keep += [not (w or _contaminated(h, len(r))) for w, h, r in zip(whole.tolist(), n_hit.tolist(), rows, strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for held, shard in _shards(batches, window, shard_words):
+            f, first = Found(shard, blocks(), names=False), 0
+            bad = [w or _contaminated(h, n) for w, h, n in zip(f.whole.tolist(), f.n_hit.tolist(), f.n_words.tolist(), strict=True)]
+            for batch in held:
+                yield batch.filter(pa.array([not x for x in bad[first : first + batch.num_rows]], pa.bool_()))
+                first += batch.num_rows
 
     return docs.mapInArrow(run, docs.schema)
 
