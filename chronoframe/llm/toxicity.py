@@ -15,7 +15,8 @@ ones make the document's score by a logistic fit.
 
 Scale: documents are scored where they are read, without a shuffle. The classifier is
 fitted on at most ``FIT_ROWS`` labelled documents, picked by a hash of the id, which bounds
-what reaches the driver and the workers; every document is scored whole.
+what reaches the driver and the workers: the significant features, the numbers of tokens of each weight, and a few numbers
+for each of these documents. Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -36,7 +37,6 @@ from .decontaminate import words_of
 from .token_files import Generations
 
 FIT_ROWS = 20_000
-MAX_FEATURES = 50_000
 PRIOR_SHARE = 0.02
 MIN_Z, MIN_COUNT = 3.0, 5
 GAP = 0.5
@@ -168,10 +168,11 @@ def _log_odds(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
     return kept.select("feature", delta.alias("delta"), (delta / F.sqrt(1 / t + 1 / c)).alias("z")).where(f"z >= {MIN_Z}")
 
 
-def _solve_lambda(positive: np.ndarray, n: int) -> float:
-    """The positive root of the mean of exp(lambda * score) = 1; half a mean positive token is added for smoothing."""
-    typical = float(positive.mean()) if len(positive) else 5.0
-    s, p = np.append(positive, typical), np.append(np.ones(len(positive)), 0.5) / (n + 1)
+def _solve_lambda(positive: np.ndarray, times: np.ndarray, n: int) -> float:
+    """The positive root of the mean of exp(lambda * score) = 1 over n tokens, of which ``times`` have the positive scores;
+    half a mean positive token is added for smoothing."""
+    typical = float((positive * times).sum() / times.sum()) if len(positive) else 5.0
+    s, p = np.append(positive, typical), np.append(times, 0.5) / (n + 1)
     rest = 1 - p.sum()
     low, high = 1e-6, 20.0
     for _ in range(80):
@@ -195,11 +196,14 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     """Fits on labelled documents that are not held out, at most ``fit_rows`` of them.
 
     An id that is labelled toxic once counts as toxic; null labels and ids count as none;
-    copies and most near copies of a text count once. Without documents of both kinds the score is the rate.
+    of texts under one id one counts; copies and most near copies of a text count once. Null and empty texts count as texts
+    without a word. Without documents of both kinds, as in an empty table, the score is the rate.
     """
     ids = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    picked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "toxic")  # at most fit_rows rows
+    picked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    one = F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r")
+    picked = picked.groupBy("doc_id").agg(one).select("r.*")  # at most fit_rows rows
     marked = picked.mapInArrow(_mark, "text string, toxic int, m0 long, m1 long, m2 long")
     for m in ("m0", "m1", "m2"):  # of rows with one mark the same one stays, however they are partitioned
         row = F.min_by(F.struct("text", "m0", "m1", "m2"), F.xxhash64("text")).alias("r")
@@ -211,30 +215,32 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     rate = (classes.get(1, 0) + 0.5) / (sum(classes.values()) + 1)
     if not totals or not totals.toxic or not totals.clean:
         return ToxicityModel(coefficients=(math.log(rate / (1 - rate)), 0.0, 0.0, 0.0))
-    kept = _log_odds(counts, totals.toxic, totals.clean).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
+    kept = _log_odds(counts, totals.toxic, totals.clean).orderBy(F.desc("z"), "feature").collect()
     model = ToxicityModel({bytes(r.feature): r.delta for r in kept})
 
-    def positives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            n, at, weights = [], [], []
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                s = model.token_scores(text)
-                p = np.flatnonzero(s > 0)
-                n.append(len(s)), at.append(p.tolist()), weights.append(s[p].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64()))], ["toxic", "n", "at", "weights"])
-
-    rows = sample.select("text", "toxic").mapInArrow(positives, "toxic int, n long, at array<long>, weights array<double>").orderBy("toxic", "n", "at", "weights").collect()  # fit_rows at most
-
-    def scores(r) -> np.ndarray:
-        s = np.full(r.n, -GAP)
-        s[r.at] = r.weights
-        return s
-
-    clean = [r for r in rows if not r.toxic]
-    model.lam = _solve_lambda(np.array([w for r in clean for w in r.weights]), sum(r.n for r in clean))
-    best = [max((s for _, _, s in maximal_segments(scores(r))), default=0.0) if r.at else 0.0 for r in clean]
-    model.k = len(clean) / max(1e-300, sum(max(r.n, 1) * math.exp(-model.lam * b) for r, b in zip(clean, best, strict=True)))
-    x = np.array([evidence(model.passages(scores(r))) if r.at else (1.0, 0.0, 0.0, 0.0) for r in rows])
+            found = np.concatenate([np.zeros(0), *(s[s > 0] for s in map(model.token_scores, batch.column(0).cast(pa.binary()).to_pylist()))])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(found, return_counts=True)], ["weight", "times"])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            scores = [model.token_scores(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            most = [max((x for _, _, x in maximal_segments(s)), default=0.0) for s in scores]
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in scores], pa.int64()), pa.array(most, pa.float64())], ["n", "best"])
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            x = [evidence(model.passages(model.token_scores(t))) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([r[k] for r in x], pa.float64()) for k in range(4))], ["toxic", "x0", "x1", "x2", "x3"])
+
+    clean = sample.where("toxic = 0").select("text")
+    kinds = clean.mapInArrow(weights, "weight double, times long").groupBy("weight").agg(F.sum("times").alias("times")).orderBy("weight").collect()
+    rows = clean.mapInArrow(best, "n long, best double").orderBy("n", "best").collect()
+    model.lam = _solve_lambda(np.array([r.weight for r in kinds]), np.array([float(r.times) for r in kinds]), sum(r.n for r in rows))
+    model.k = len(rows) / max(1e-300, sum(max(r.n, 1) * math.exp(-model.lam * r.best) for r in rows))
+    rows = sample.select("text", "toxic").mapInArrow(seen, "toxic int, x0 double, x1 double, x2 double, x3 double").orderBy("toxic", "x1", "x2", "x3").collect()
+    x = np.array([tuple(r)[1:] for r in rows])
     model.coefficients = _logistic(x, np.array([float(r.toxic) for r in rows]))
     return model
 
@@ -245,7 +251,10 @@ def _score_texts(model: ToxicityModel, texts: list[bytes | None]) -> tuple[list[
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """Returns doc_id, held_out, score, predicted, n_passages for every row; null and empty texts have no passage."""
+    """Returns doc_id, held_out, score, predicted, n_passages for every row; null and empty texts have no passage.
+
+    Repeated rows are scored each, equal texts alike; an empty table gives none; further columns are left aside.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
