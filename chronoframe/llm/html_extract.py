@@ -25,10 +25,12 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,25 +256,34 @@ def _ranges(keys: DataFrame, n: int) -> list:
     return found[step::step]
 
 
+def _sortable(key) -> tuple:
+    """A key as Spark orders it: text by its bytes, no id first."""
+    return key["host"], key["path"], key["id"] is not None, key["id"] or ""
+
+
 def _range_of(key: Column, cuts: list) -> Column:
     """In which of the ranges a key is: how many cuts are no greater."""
-    if not cuts:
-        return F.lit(0)
-    made = F.array(*[F.struct(F.lit(c["host"]).alias("host"), F.lit(c["path"]).alias("path"), F.lit(c["page_id"]).alias("page_id")) for c in cuts])
-    return F.size(F.filter(made, lambda c: c <= key))
+    ends = [_sortable(c) for c in cuts]
+
+    @F.pandas_udf("int")
+    def place(keys: pd.DataFrame) -> pd.Series:
+        return pd.Series([bisect_right(ends, (h, p, i is not None, i or "")) for h, p, i in zip(keys["host"], keys["path"], keys["id"], strict=True)], dtype="int32")
+
+    return place(key) if cuts else F.lit(0)
 
 
 def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """Returns page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html).
 
     Null or empty html gives an empty text. Pages with a null url, or one without ``://``,
-    are of one nameless host. Rows with one url and id are neighbours in the order of their html's hash; as copies, they
+    are of one nameless host. Pages of one url are in the order of their ids as text, rows with one url and id in the order of their html's hash; as copies, they
     delete nothing. Of two neighbours that are equally near the one before is taken. An empty table gives
     none. Further columns are left aside.
     """
     host, path = host_and_path(F.col("url"))
-    key = F.struct(host.alias("host"), path.alias("path"), "page_id").alias("key")
-    n = ranges or shuffle_partitions(pages.sparkSession)
+    key = F.struct(host.alias("host"), path.alias("path"), F.col("page_id").cast("string").alias("id")).alias("key")
+    # several ranges a partition, so that dealing them by a hash is even; partitions grow with the table
+    n = ranges or 4 * max(shuffle_partitions(pages.sparkSession), pages.rdd.getNumPartitions())
     keys = pages.select(key)
     cuts = _ranges(keys, n)
     whole = pages.select("page_id", "url", "html", key, F.xxhash64("html").alias("hash")).withColumn("part", _range_of(F.col("key"), cuts))
@@ -284,13 +295,13 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     if beside:
         kind = keys.schema["key"].dataType.simpleString()
         wanted = pages.sparkSession.createDataFrame(beside, f"_key {kind}, to int, after boolean")
-        met = whole.join(F.broadcast(wanted), whole.key.eqNullSafe(wanted._key))
+        met = whole.join(F.broadcast(wanted), whole.key.eqNullSafe(wanted._key))  # two keys a range
         # of rows with one key the first or the last in the order of the sort
         guests = met.groupBy("to", "after").agg(F.first("key").alias("key"), *[F.struct(F.min_by(c, "hash").alias("a"), F.max_by(c, "hash").alias("b")).alias(c) for c in ("page_id", "url", "html")], F.min("hash").alias("low"), F.max("hash").alias("high"))
         pick = lambda c: F.when(F.col("after"), F.col(f"{c}.a")).otherwise(F.col(f"{c}.b")).alias(c)
         guests = guests.select(*[pick(c) for c in ("page_id", "url", "html")], "key", F.when(F.col("after"), F.col("low")).otherwise(F.col("high")).alias("hash"), F.col("to").alias("part"), F.lit(True).alias("guest"))
         rows = rows.unionByName(guests)
-    ordered = rows.repartition(n, "part").sortWithinPartitions("part", "key", "hash", "guest")
+    ordered = rows.repartition(max(1, n // 4), "part").sortWithinPartitions("part", "key", "hash", "guest")
     ordered = ordered.select("page_id", "url", "html", F.col("key.host").alias("host"), F.col("key.path").alias("path"), "part", "guest")
     id_type = pages.schema["page_id"].dataType.simpleString()
 
