@@ -285,7 +285,14 @@ query("retention", f"WITH {EVENTS} SELECT key, ts, {r6('value')} AS value FROM s
 query("retention_gate", f"WITH {ARRIVALS} SELECT key, ts, {r6('value')} AS value, arrival, coalesce(ts >= max(ts) OVER (PARTITION BY key ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {400 * DAY}, true) AS accepted FROM arr")(
     lambda s, d: W.retention_gate(_arrivals(s, d), 400 * DAY)
 )
-query("ignore_repeats")(lambda s, d: W.drop_repeats(event_samples(s, d).withColumn("arrival", F.col("ts")), 12 * 3_600_000, 25.0))
+query(
+    "ignore_repeats",
+    f"""WITH RECURSIVE {EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS i FROM samples),
+r AS (SELECT key, i, ts, value, ts AS kept_ts, value AS kept, true AS stays FROM o WHERE i = 1 UNION ALL
+SELECT key, i, ts, value, CASE WHEN stays THEN ts ELSE kept_ts END, CASE WHEN stays THEN value ELSE kept END, stays
+FROM (SELECT o.*, kept_ts, kept, NOT (o.ts - kept_ts <= 43200000 AND abs(o.value - kept) <= 25) AS stays FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1))
+SELECT key, ts, {r6('value')} AS value, ts AS arrival FROM r WHERE stays""",
+)(lambda s, d: W.drop_repeats(event_samples(s, d).withColumn("arrival", F.col("ts")), 12 * 3_600_000, 25.0))
 query(
     "increments",
     f"WITH {EVENTS}, st AS (SELECT * FROM samples WHERE ts < {START}), de AS (SELECT key, ts, value AS delta, row_number() OVER (PARTITION BY key ORDER BY ts) AS n FROM samples WHERE ts >= {START}), l AS (SELECT key, max_by(value, ts) AS v FROM st GROUP BY key) SELECT key, ts, {r6('coalesce(v, 0) + sum(delta) OVER (PARTITION BY key ORDER BY n)')} AS value FROM de LEFT JOIN l USING (key)",
@@ -350,11 +357,28 @@ FENCES = {
 }
 for _method in ("zscore", "modified-zscore", "mad", "double-mad", "iqr"):
     query(f"outliers_{_method.replace('-', '_')}", f"WITH {EVENTS}, {FENCES[_method]}, {FENCE} {SCORE}")(lambda s, d, m=_method: fenced_outliers(event_samples(s, d), range_query(), m))
-query("outliers_double_mad_batch", f"WITH {EVENTS}, {FENCES['double-mad']}, {FENCE} SELECT * FROM ({SCORE}) WHERE key LIKE 'view:%'")(lambda s, d: outliers(event_samples(s, d).where(F.col("key").startswith("view:")), range_query(), "double-mad"))
+query("outliers_double_mad_batch", f"WITH {EVENTS}, {FENCES['double-mad']}, {FENCE} {SCORE}")(lambda s, d: outliers(event_samples(s, d), range_query(), "double-mad"))
 query("outliers_iqr_simple", f"WITH {EVENTS}, {FENCES['iqr']}, {FENCE} SELECT * FROM ({SCORE}) WHERE signal = 1")(lambda s, d: fenced_outliers(event_samples(s, d), range_query(), "iqr", direction="positive", output="simple"))
 query("outliers_mad_cleaned", f"WITH {EVENTS}, {FENCES['mad']}, {FENCE} SELECT key, ts, value FROM ({SCORE}) WHERE signal = 0")(lambda s, d: outliers(event_samples(s, d), range_query(), "mad", output="cleaned"))
+# the recursions step by step: o has the samples in order, base the mean and deviation of the first half, of 100 at most
+STEPS = f"""WITH RECURSIVE {EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts) AS i, count(*) OVER (PARTITION BY key) AS n FROM samples),
+base AS (SELECT key, avg(value) AS t, coalesce(stddev_samp(value), 0) AS s FROM o WHERE i <= least(n // 2, 100) GROUP BY key), x AS (SELECT * FROM o JOIN base USING (key) WHERE n >= 3)"""
+SHOWN = f"key, ts, {r6('value')} AS value, {r6('CASE WHEN e > 0 AND b >= 0 THEN CASE WHEN b = 0 THEN 1.0 ELSE e / (e + b) END ELSE 0.0 END')} AS score"
+RECURSIONS = {
+    "cusum": f"""{STEPS}, d AS (SELECT key, i, CASE WHEN s > 2.220446049250313e-16 THEN (value - t) / s END AS d FROM x),
+r AS (SELECT key, i, greatest(0, d - 0.5) AS up, greatest(0, -d - 0.5) AS down FROM d WHERE i = 1 AND d IS NOT NULL UNION ALL SELECT d.key, d.i, greatest(0, up + d - 0.5), greatest(0, down - d - 0.5) FROM r JOIN d ON d.key = r.key AND d.i = r.i + 1)
+SELECT {SHOWN}, CASE WHEN up > 5 THEN 1 WHEN down > 5 THEN -1 ELSE 0 END AS signal FROM (SELECT x.*, up, down, coalesce(greatest(up, down), 0) AS e, 5.0 AS b FROM x LEFT JOIN r USING (key, i))""",
+    "ewma": f"""{STEPS}, r AS (SELECT key, i, 0.3 * value + 0.7 * t AS level FROM x WHERE i = 1 UNION ALL SELECT x.key, x.i, 0.3 * value + 0.7 * level FROM r JOIN x ON x.key = r.key AND x.i = r.i + 1)
+SELECT {SHOWN}, CASE WHEN e > b THEN sign(level - t)::INT ELSE 0 END AS signal FROM (SELECT x.*, level, abs(level - t) AS e, nullif(greatest(3 * sqrt(s * s * 0.3 / 1.7 * (1 - pow(0.7, 2 * i))), 2.220446049250313e-16), 2.220446049250313e-16) AS b FROM x JOIN r USING (key, i))""",
+    # a signal has no influence: the value before it goes on in the window of ten
+    "smoothed-zscore": f"""{STEPS}, w AS (SELECT key, list(value ORDER BY i) AS w FROM x WHERE n > 10 AND i <= 10 GROUP BY key),
+r AS (SELECT key, 10::BIGINT AS i, w, w[10] AS kept, 0.0::DOUBLE AS e, 0.0::DOUBLE AS b, 0 AS signal FROM w UNION ALL
+SELECT key, i, list_append(w[2:10], CASE WHEN e > b THEN kept ELSE value END), CASE WHEN e > b THEN kept ELSE value END, e, b, CASE WHEN e > b THEN CASE WHEN value > m THEN 1 ELSE -1 END ELSE 0 END
+FROM (SELECT x.key, x.i, w, kept, value, list_avg(w) AS m, abs(value - list_avg(w)) AS e, 3.5 * list_stddev_pop(w) AS b FROM r JOIN x ON x.key = r.key AND x.i = r.i + 1))
+SELECT {SHOWN}, coalesce(signal, 0) AS signal FROM x LEFT JOIN (SELECT * FROM r WHERE i > 10) USING (key, i)""",
+}
 for _method in ("cusum", "ewma", "smoothed-zscore", "esd", "rcf"):
-    query(f"outliers_{_method.replace('-', '_')}")(lambda s, d, m=_method: outliers(event_samples(s, d), range_query(), m))
+    query(f"outliers_{_method.replace('-', '_')}", RECURSIONS.get(_method))(lambda s, d, m=_method: outliers(event_samples(s, d), range_query(), m))
 query("outliers_seasonal")(lambda s, d: outliers(scan(order_samples(s, d), range_query(aggregate=aggregation("sum", "7d", empty=True))).withColumnRenamed("sum", "value"), range_query(), "modified-zscore", seasonality=[52]))
 
 
