@@ -8,10 +8,16 @@
 Reads return lazy DataFrames. Writes replace the engine's frames; with a folder each write is
 stored there as a new Parquet version, which keeps plans short, and without one they add
 to the frames' lineage, which suits tests. Bulk data is better given as frames.
+
+A folder also holds the rules and which versions are current, one row for each write. An engine that is made for a
+folder begins with what is stored there, and a blocking read looks there again at every poll, so it sees
+what other engines have written meanwhile. One engine at a time may write.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import shlex
 import time
 from collections.abc import Callable, Sequence
@@ -78,14 +84,18 @@ METHOD_OPTIONS = {"ALPHA": "alpha", "LAG": "lag", "INFLUENCE": "influence", "MAX
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, samples: DataFrame | None = None, series: DataFrame | None = None, folder: str | None = None, clock: Callable[[], int] | None = None):
-        self.spark, self.folder, self.rules = spark, folder, []
+    def __init__(self, spark: SparkSession, samples: DataFrame | None = None, series: DataFrame | None = None, folder: str | None = None, clock: Callable[[], int] | None = None, auto: Sequence[tuple[str, str]] = ()):
+        """``auto`` has pairs of a pattern, which a whole key must match, and the rules that a new series of such a key gets."""
+        self.spark, self.folder, self.rules, self.auto = spark, folder, [], list(auto)
+        self.paths: dict[str, str] = {}
         self.clock = clock or (lambda: int(time.time() * 1000))
         self.samples = spark.createDataFrame([], SAMPLES) if samples is None else samples.select("key", "ts", "value")
         empty = spark.createDataFrame([], W.SERIES)
         if series is not None:
             series = empty.unionByName(series, allowMissingColumns=True).fillna({"retention_ms": 0, "ignore_ms": 0, "ignore_value": 0.0, "duplicate_policy": "block"})
         self.series, self.versions = empty if series is None else series, 0
+        if folder and samples is None and series is None:
+            self._load()
 
     def execute(self, command: str | Sequence[str]) -> DataFrame:
         words = shlex.split(command) if isinstance(command, str) else list(command)
@@ -106,11 +116,17 @@ class Engine:
 
     # State
 
-    def _store(self, samples: DataFrame | None = None, series: DataFrame | None = None) -> None:
+    def _store(self, samples: DataFrame | None = None, series: DataFrame | None = None, rules: list[R.Rule] | None = None) -> None:
+        rules = self.rules if rules is None else rules
         if self.folder:
-            self.versions += 1
-            kept = lambda df, what: self._written(df, f"{self.folder}/{what}-{self.versions}")
-            samples, series = samples and kept(samples, "samples"), series and kept(series, "series")
+            number = self.versions + 1
+            paths = self.paths | {what: f"{self.folder}/{what}-{number}" for what, df in (("samples", samples), ("series", series)) if df is not None}
+            samples = samples and self._written(samples, paths["samples"])
+            series = series and self._written(series, paths["series"])
+            told = [[r.source, r.dest, r.aggregator.name + (f"({r.aggregator.op} {r.aggregator.operand!r})" if r.aggregator.op else ""), r.bucket_ms, r.align, r.retention_ms] for r in rules]
+            self._written(self._one(paths=json.dumps(paths), rules=json.dumps(told)), f"{self.folder}/state-{number}")  # from here on the write counts
+            self.versions, self.paths = number, paths
+        self.rules = rules
         self.samples = self.samples if samples is None else samples
         self.series = self.series if series is None else series
 
@@ -118,6 +134,21 @@ class Engine:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _load(self) -> None:
+        """Takes over the newest state of the folder, if there is one that is newer."""
+        jvm = self.spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state-*/_SUCCESS")
+        found = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+        number = max((int(f.getPath().getParent().getName().removeprefix("state-")) for f in found), default=0)
+        if number <= self.versions:
+            return
+        state = self.spark.read.parquet(f"{self.folder}/state-{number}").first()
+        self.versions, self.paths = number, json.loads(state.paths)
+        self.rules = [R.rule(source, dest, name, bucket, align, retention) for source, dest, name, bucket, align, retention in json.loads(state.rules)]
+        for what, schema in (("samples", SAMPLES), ("series", W.SERIES)):
+            if what in self.paths:
+                setattr(self, what, self.spark.read.schema(schema).parquet(self.paths[what]))
+
     def _one(self, **columns) -> DataFrame:
         return self.spark.range(1).select(*[F.lit(v).alias(k) for k, v in columns.items()])
 
@@ -255,7 +286,7 @@ class Engine:
         options, _, _ = self._series_options(a)
         if self._find(key):
             raise CommandError(f"series {key!r} exists")
-        self._store(series=self.series.unionByName(W.create_series(self.spark, key, **options)))
+        self._new(key, options)
         return self._one(ok=True)
 
     def _alter(self, a: Args) -> DataFrame:
@@ -268,10 +299,20 @@ class Engine:
     def _ensure(self, key: str, options: dict):
         row = self._find(key)
         if row is None:
-            self._store(series=self.series.unionByName(W.create_series(self.spark, key, **options)))
+            self._new(key, options)
             row = self._find(key)
         return row
 
+    def _new(self, key: str, options: dict) -> None:
+        """Creates a series, and the destinations and rules that ``auto`` has for it; a destination gets none of its own."""
+        series, rules = self.series.unionByName(W.create_series(self.spark, key, **options)), self.rules
+        for r in (r for pattern, policies in self.auto if re.fullmatch(pattern, key) for r in R.auto_rules(key, policies)):
+            if self._find(r.dest) is None:
+                kept = {"retention_ms": r.retention_ms, "labels": options.get("labels")}
+                series = series.unionByName(W.create_series(self.spark, r.dest, **kept))
+            rules = R.add_rule(rules, r)
+        self._store(series=series, rules=rules)
+
     def _write(self, incoming: DataFrame, row, policy: str | None = None) -> DataFrame:
         """Merges samples of one series (key, ts, value, arrival); returns those written."""
         policy = policy or row.duplicate_policy
@@ -384,11 +425,11 @@ class Engine:
             name += " " + a.next()
         bucket, align = a.next("a bucket"), parse_timestamp(a.next()) if a.more() else 0
         self._need(source), self._need(dest)
-        self.rules = R.add_rule(self.rules, R.rule(source, dest, name, bucket, align))
+        self._store(rules=R.add_rule(self.rules, R.rule(source, dest, name, bucket, align)))
         return self._one(ok=True)
 
     def _deleterule(self, a: Args) -> DataFrame:
-        self.rules = R.drop_rule(self.rules, a.next(), a.next())
+        self._store(rules=R.drop_rule(self.rules, a.next(), a.next()))
         return self._one(ok=True)
 
     # Reads of one series
@@ -416,7 +457,12 @@ class Engine:
                 most = int(a.next())
             else:
                 op, operand = a.next(), parse_number(a.next())
-        load = lambda: self.samples.where(F.col("key") == key)
+
+        def load() -> DataFrame:
+            if self.folder and wait:
+                self._load()
+            return self.samples.where(F.col("key") == key)
+
         if wait:
             return blocking_read(load, cursor, least, wait, most, op, operand).drop("key").orderBy("ts")
         return read_after(load(), cursor, op, operand, most).drop("key").orderBy("ts")
