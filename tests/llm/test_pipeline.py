@@ -51,3 +51,24 @@ def test_empty_documents(spark, sf):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_odd_rows_pass_all_stages(spark, sf, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, and columns with names that stages use."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, fp long, size int, root long, label string, _text string, _row int"
+    rest = (None, None, None, 7, 7, 7, "x", "y", 1)
+    unlike = " ".join(f"w{i}" for i in range(20_000))
+    data = [(1, None, *rest), (2, "", *rest), (3, "   ", *rest), (None, "no id here", *rest), (None, None, *rest), (4, "same text twice", *rest), (4, "same text twice", *rest), (4, "another text under one id", *rest), (5, unlike, *rest), (6, unlike + " more", *rest), (7, "write to a@b.org", *rest)]
+    docs = spark.createDataFrame(data, columns)
+    counts = {}
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        counts[name] = docs.count()
+        if name != "sentencepiece":
+            assert docs.columns == columns.replace(",", "").split()[::2]
+    # texts without a word are one component (1 stays), copies and near copies leave one, a row without an id stays if no copy has one
+    assert counts == {"toxicity": 11, "near_duplicates": 6, "decontamination": 6, "pii": 6, "sentencepiece": 6}
+    kept = spark.read.parquet(str(tmp_path / "3")).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "4", "4", "5", "7", "None"]
+    assert {r.text for r in kept if r.doc_id == 7} == {"write to [EMAIL]"} and all(r.fp == 7 and r._text == "y" for r in kept)
