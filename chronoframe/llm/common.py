@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 _own_dir: list[str] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +78,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def small(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that a worker holds few texts as Python objects at a time.
 
-    A batch has at most ``rows`` rows and ``size`` bytes of strings; a longer row is a batch by itself.
+    A batch has at most ``rows`` rows and ``size`` bytes of strings; a longer row is a batch by itself. At the end of
+    a task its freed memory goes back to the system, as the worker stays for tasks of other kinds.
     """
+    try:
+        yield from _cut(batches, rows, size)
+    finally:
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lengths = np.zeros(batch.num_rows, np.int64)
         for c in batch.columns:

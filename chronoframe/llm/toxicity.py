@@ -133,11 +133,11 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the least of three hashes over a text's shingles of five words: near copies share most of these."""
     for batch in small(batches):
         marks = []
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
+        for text in batch.column(1).cast(pa.binary()).to_pylist():
             words = words_of(text)
             h = np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))], np.uint64)
             marks.append([(h * np.uint64(m)).min().astype(np.int64) for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)])
-        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[k] for m in marks], pa.int64()) for k in range(3))], ["text", "toxic", "m0", "m1", "m2"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([m[k] for m in marks], pa.int64()) for k in range(3))], ["row", "text", "toxic", "m0", "m1", "m2"])
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def _counts(sample: DataFrame) -> DataFrame:
     one document repeats counts once; the empty feature has the sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, 64):
             counts: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
             for text, toxic in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = {f for w in set(words_of(text)) for f in features_of(w)}
@@ -202,13 +202,17 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxicit
     ids = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     picked = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-    one = F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r")
-    picked = picked.groupBy("doc_id").agg(one).select("r.*")  # at most fit_rows rows
-    marked = picked.mapInArrow(_mark, "text string, toxic int, m0 long, m1 long, m2 long")
-    for m in ("m0", "m1", "m2"):  # of rows with one mark the same one stays, however they are partitioned
-        row = F.min_by(F.struct("text", "m0", "m1", "m2"), F.xxhash64("text")).alias("r")
-        marked = marked.groupBy(F.col(m).alias("m"), "toxic").agg(row).select("toxic", "r.*")
-    sample = materialize(marked.select("text", "toxic"), "toxicity-fit")
+    picked = materialize(picked.withColumn("row", F.monotonically_increasing_id()).select("row", "text", "toxic", F.col("doc_id").alias("id")), "toxicity-picked")
+    hashed = F.xxhash64("text").alias("h")
+    # texts stay where they are; of rows with one id, then with one mark, the one with the least hash stays, however they are partitioned
+    first = F.min_by("row", F.struct("h", "row")).alias("row")
+    ids = picked.select("row", "id", hashed).groupBy("id").agg(first).select("row")
+    marked = picked.select("row", "text", "toxic").mapInArrow(_mark, "row long, text string, toxic int, m0 long, m1 long, m2 long").select("row", "toxic", "m0", "m1", "m2", hashed)
+    marked = materialize(marked.join(ids, "row", "left_semi"), "toxicity-marks")  # at most fit_rows rows
+    for m in ("m0", "m1", "m2"):
+        marked = marked.join(marked.groupBy(F.col(m), "toxic").agg(first).select("row"), "row", "left_semi")
+    kept = materialize(marked.select("row"), "toxicity-rows")
+    sample = materialize(picked.join(F.broadcast(kept), "row", "left_semi").select("text", "toxic"), "toxicity-fit")
     counts = materialize(_counts(sample), "toxicity-counts")
     totals = counts.where("length(feature) = 0").first()
     classes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
