@@ -221,7 +221,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Returns doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term for every row.
 
     A null or empty text has no spans (the checksum is of no bytes). Rows with equal texts
-    have equal spans; rows with equal or null ids are told apart by nothing but their text.
+    have equal spans; rows with equal or null ids are told apart by nothing but their text. An empty table gives none.
     """
     found = _marked(docs, scan(docs, ["doc_id"]))
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
@@ -255,7 +255,11 @@ def _redacted(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, with entities and disclosing terms replaced in text; a null text stays null."""
+    """The rows of ``docs``, all columns, with entities and disclosing terms replaced in text.
+
+    A null text stays null and an empty one empty. Repeated rows stay, and equal texts change alike. Spans that overlap are replaced as
+    one, by the kind of the first; of spans with one start by the first kind listed. An empty table gives none.
+    """
     names = docs.columns
     found = scan(docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")), ["_row"])  # no name of docs can clash
     joined = _marked(docs, found)

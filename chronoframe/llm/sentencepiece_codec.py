@@ -182,8 +182,8 @@ def _read(path: str) -> bytes:
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """All columns of ``docs`` but text, and ids (array of int), round_trip (decoding gives the text).
 
-    A null text has no ids and round_trip true, as the empty one. A column that is called
-    ids or round_trip already is left out.
+    A null text has no ids and round_trip true, as the empty one. Bytes that are no UTF-8 are read as replacement
+    characters, so such a text has no round trip. A column that is called ids or round_trip already is left out. Repeated rows stay.
     """
     sent = docs.sparkSession.sparkContext.broadcast(_read(model_path))  # a vocabulary file, not data
     names = [c for c in docs.columns if c not in ("text", "ids", "round_trip")]
@@ -193,7 +193,7 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index("text"))
             part = texts.cast(pa.binary()).to_pylist()
-            ids = [model.encode(t.decode()) if t else np.zeros(0, "<u4") for t in part]
+            ids = [model.encode(t.decode(errors="replace")) if t else np.zeros(0, "<u4") for t in part]
             same = [model.decode(x) == (t or b"") for x, t in zip(ids, part, strict=True)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
@@ -205,7 +205,11 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def codec_digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (ids as little-endian 32-bit), decoded_crc32 (UTF-8), round_trip of every row."""
+    """doc_id, n_pieces, ids_crc32 (ids as little-endian 32-bit), decoded_crc32 (UTF-8), round_trip of every row.
+
+    A null text has no pieces, as the empty one. Bytes that are no UTF-8 are read as replacement characters, so such a text has
+    no round trip. Repeated rows and ids give one row each, equal texts equal values, an empty table none; further columns are left aside.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(_read(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +217,7 @@ def codec_digest(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in small(batches):
             rows: list[tuple] = []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
-                ids = model.encode(text.decode()) if text else np.zeros(0, "<u4")
+                ids = model.encode(text.decode(errors="replace")) if text else np.zeros(0, "<u4")
                 back = model.decode(ids)
                 rows.append((len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(back), back == (text or b"")))
             columns = [pa.array([r[k] for r in rows], pa.bool_() if k == 3 else pa.int64()) for k in range(4)]
