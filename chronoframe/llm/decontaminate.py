@@ -34,7 +34,7 @@ from .common import small, spread, table
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
-SHARD_WORDS = 500_000
+SHARD_WORDS = 150_000
 _BITS = 22
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 #: A-Z to a-z; every ASCII character that is no letter or digit to a space.
