@@ -41,9 +41,8 @@ def shingle_hashes(text: bytes | None, length: int) -> np.ndarray:
     return np.fromiter(map(_hash, shingles), np.uint64, n)
 
 
-def fingerprint(text: bytes | None, length: int = 3) -> int:
-    """The SimHash of a text's shingles of ``length`` words, unsigned; 0 without a word."""
-    h = shingle_hashes(text, length)
+def majority(h: np.ndarray) -> int:
+    """The SimHash of hashes, unsigned: the bits that are set in more than half of them; 0 without any."""
     n = len(h)
     if not n:
         return 0
@@ -56,6 +55,11 @@ def fingerprint(text: bytes | None, length: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes | None, length: int = 3) -> int:
+    """The SimHash of a text's shingles of ``length`` words, unsigned; 0 without a word."""
+    return majority(shingle_hashes(text, length))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

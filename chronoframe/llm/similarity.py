@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of shingle sets, found by prefix filtering and verified exactly.
+"""Near-duplicates by the Jaccard similarity of shingle sets, found by SimHash and prefix filtering and verified exactly.
+
+First come the sets whose SimHash differs in at most 2 bits: they meet in balls (``simhash``), and what meets
+is compared exactly. Most similar sets differ in more bits, up to 11 or so, for which balls would need millions of values a set,
+and no number of bits holds all pairs for certain. So what the balls leave apart is then found by prefix filtering.
 
 Shingles have one global order. Two sets of similarity s or more share
 a shingle among the first ``n - ceil(s n) + 1`` of each, n being a set's size, whatever the order is;
@@ -40,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, small
-from .simhash import components, shingle_hashes
+from .simhash import _signed, ball_links, components, majority, shingle_hashes
 
 CLASS = 3
 #: Chains are tried again while the pairs that remain exceed so many times the rows that meet.
@@ -72,7 +76,7 @@ class JaccardLinks:
         return _mark(self.shingles(text))
 
     def found(self, docs: DataFrame) -> DataFrame:
-        """doc_id, fp (the mark), size, first, text_key and map of every row; copies in a task have the map once.
+        """doc_id, fp (the mark), size, first, text_key, simhash and map of every row; copies in a task have the last two once.
 
         ``first`` is the number of shingles of the first class.
         """
@@ -82,12 +86,14 @@ class JaccardLinks:
             for batch in small(batches):
                 sets = [self.shingles(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
                 marks = [_mark(s) for s in sets]
-                maps = [parity_map(s) if len(s) and seen.is_new(m) else _NONE for m, s in zip(marks, sets, strict=True)]
-                columns = [batch.column(0), pa.array(marks, pa.int64()), *(pa.array(x, pa.int32()) for x in ([len(s) for s in sets], [len(_head(s)) for s in sets])), batch.column(1), _lists(maps)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "size", "first", "text_key", "map"])
+                new = [len(s) > 0 and seen.is_new(m) for m, s in zip(marks, sets, strict=True)]
+                maps = [parity_map(s) if x else _NONE for x, s in zip(new, sets, strict=True)]
+                simhashes = pa.array([_signed(majority(s)) if x else None for x, s in zip(new, sets, strict=True)], pa.int64())
+                columns = [batch.column(0), pa.array(marks, pa.int64()), *(pa.array(x, pa.int32()) for x in ([len(s) for s in sets], [len(_head(s)) for s in sets])), batch.column(1), simhashes, _lists(maps)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "size", "first", "text_key", "simhash", "map"])
 
         id_type = docs.schema["doc_id"].dataType.simpleString()
-        return docs.select("doc_id", _text_key(), "text").mapInArrow(run, f"doc_id {id_type}, fp long, size int, first int, text_key long, map array<long>")
+        return docs.select("doc_id", _text_key(), "text").mapInArrow(run, f"doc_id {id_type}, fp long, size int, first int, text_key long, simhash long, map array<long>")
 
     def _prefix(self, n: int) -> int:
         """How many shingles of a set of n, in any one order, hold one of each similar set's."""
@@ -129,14 +135,15 @@ class JaccardLinks:
 
     def links(self, docs: DataFrame, found: DataFrame) -> DataFrame:
         """Links (a, b), a < b, that connect all marks of the written table ``found`` as all similar pairs do."""
-        nodes = found.where(F.size("map") > 0).groupBy("fp").agg(*[F.first(c).alias(c) for c in ("size", "first", "map")])
+        nodes = found.where(F.size("map") > 0).groupBy("fp").agg(*[F.first(c).alias(c) for c in ("size", "first", "simhash", "map")])
         nodes = materialize(nodes, "maps")
         maps = nodes.select("fp", "map")
+        pairs = materialize(self._sifted(self._near(self._balls(nodes)), maps), "ball-pairs")
+        links = materialize(self._verified(pairs, docs, found), "ball-links")
         some = self._met(self._rows(docs, self._tokens), nodes, F.col("first"), _is_late())
         rest = self._texts(docs, found, some.select("fp").distinct())
         met = self._met(self._rows(rest, lambda s: s), nodes, F.col("size"), F.lit(False))
-        met = materialize(met, "met").withColumn("root", F.col("fp"))
-        links = found.sparkSession.createDataFrame([], "a long, b long")
+        met = materialize(self._unlinked(materialize(met, "met"), links), "met-roots")
         k, before = 0, None
         while True:
             by = Window.partitionBy("shingle").orderBy(F.xxhash64("fp", F.lit(k)), "fp")
@@ -157,6 +164,17 @@ class JaccardLinks:
         pairs = materialize(self._sifted(self._near(rest), maps), "pairs")
         return links.unionByName(self._verified(pairs, docs, found))
 
+    def _balls(self, nodes: DataFrame) -> DataFrame:
+        """Pairs of rows of the written table ``nodes`` that connect all whose SimHash differs in at most 2 bits: (fp, size, place, root and those with a _ before)."""
+        one = nodes.groupBy("simhash").agg(F.min(F.struct("fp", "size")).alias("one"))
+        one = materialize(one.select("simhash", "one.fp", "one.size"), "simhashes")
+        a, b = (one.select(F.col("simhash").alias(c), F.col("fp").alias(f"{p}fp"), F.col("size").alias(f"{p}size")) for c, p in (("a", ""), ("b", "_")))
+        unlike = ball_links(one.select(F.col("simhash").alias("fp"))).join(a, "a").join(b, "b").drop("a", "b")
+        by = Window.partitionBy("simhash").orderBy("fp")
+        alike = nodes.select("fp", "size", *[F.lag(c).over(by).alias(f"_{c}") for c in ("fp", "size")])
+        first = F.lit(1)  # the shingles' places don't matter
+        return unlike.unionByName(alike).withColumns({"place": first, "_place": first, "root": F.col("fp"), "_root": F.col("_fp")})
+
     def _may(self) -> Column:
         """Whether the sets of a row can be similar if the shingle at their places is the first that they share."""
         common = F.least(F.col("size") - F.col("place"), F.col("_size") - F.col("_place")) + 1

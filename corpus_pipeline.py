@@ -5,7 +5,8 @@ and read again as the next stage's documents:
 
 1. toxicity: documents that are predicted to be toxic go;
 2. near_duplicates: of each component of pairs whose five-word shingle sets have a Jaccard
-   similarity of 0.8 or more the document with the smallest id stays;
+   similarity of 0.8 or more the document with the smallest id stays; pairs are found by SimHash,
+   and by prefix filtering where their fingerprints are too far apart;
 3. decontamination: documents that hold a window of 13 words of the benchmark verbatim go, however long
    they are, and documents of which items shorter than that are a twentieth or more;
 4. pii: personal data and terms that disclose it are replaced in the text;

@@ -55,3 +55,52 @@ def test_stage_links_all_similar_pairs(spark, sf, monkeypatch):
         assert {r.doc_id for r in pipeline.near_duplicates(spark, made, sf).collect()} == expected
     docs = table(spark, sf, "documents")
     assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, sf).collect()} == brute_kept([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def joined(nodes, pairs):
+    """The components of ``nodes`` under ``pairs``, as sets."""
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    found = {}
+    for n in nodes:
+        found.setdefault(find(n), set()).add(n)
+    return sorted(map(sorted, found.values()))
+
+
+def test_balls_join_all_near_fingerprints(spark):
+    rng = random.Random(3)
+    values = []
+    for _ in range(10):
+        x = rng.getrandbits(64)
+        for _ in range(12):
+            values += [x] * rng.randrange(1, 4)
+            for bit in rng.sample(range(64), rng.randrange(1, 5)):
+                x ^= 1 << bit
+    nodes = spark.createDataFrame([(i, 50, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "fp long, size int, simhash long")
+    pairs = [(r.fp, r._fp) for r in similarity.JaccardLinks()._balls(nodes).collect() if r._fp is not None]
+    near = [(i, j) for i, v in enumerate(values) for j in range(i) if (v ^ values[j]).bit_count() <= 2]
+    assert joined(range(len(values)), pairs) == joined(range(len(values)), near)
+
+
+def test_stage_links_by_simhash_what_prefixes_would_miss(spark, sf, monkeypatch):
+    """With prefix filtering off the stage still links texts whose SimHash is near, and only similar ones."""
+    rng = random.Random(5)
+    rule, texts = similarity.JaccardLinks(), []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        texts += [edited(rng, base, 1) for _ in range(5)] + [" ".join(base[:900])]
+    marks = [similarity.majority(rule.shingles(t.encode())) for t in texts]
+    near = [(i, j) for i, v in enumerate(marks) for j in range(i) if (v ^ marks[j]).bit_count() <= 2]
+    expected = {c[0] for c in joined(range(len(texts)), near)}
+    assert 12 <= len(expected) < len(texts)
+    met = similarity.JaccardLinks._met
+    monkeypatch.setattr(similarity.JaccardLinks, "_met", lambda *a: met(*a).limit(0))
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, made, sf).collect()} == expected
