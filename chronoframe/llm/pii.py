@@ -171,9 +171,12 @@ def _key(text: Column) -> Column:
 
 
 def _term_counts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(term, n_t): in how many documents each candidate occurs."""
+    """(term, n_t): in how many documents each of the distinct candidates occurs.
+
+    An inner join, as Spark would move a semi-join to before the counts, where it makes a row for each word of each document.
+    """
     words = docs.select(F.explode(_words(F.col("text"))).alias("term"))
-    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(candidates, "term", "left_semi")
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(candidates, "term")
 
 
 def _lower_end(p: Column, n: Column) -> Column:

@@ -21,9 +21,9 @@ its shingles whose hash is i modulo the map's length, so two maps differ in no m
 shingles: a pair whose maps differ in more places than similar sets may is none. A map takes a bit or two for
 a shingle, a hundredth of the text, and leaves hardly a pair that is not similar.
 
-Sets that meet on a shingle are first compared along chains, each set with one of those that pass, then,
-as long as many pairs of sets that meet are not yet in one component, along chains in other orders, and at last
-all such pairs. A large group of near copies is connected by the chains, which are linear in its size;
+Sets that meet on a shingle are first compared along chains, by their fingerprints, so that near ones are neighbours, and by chance; each
+set with one of those that pass. As long as many pairs of sets that meet are not yet in one component, that goes on in other orders (the
+fingerprints' bits are turned), and at last come all such pairs. A large group of near copies is connected by the chains, which are linear in its size;
 only sets that meet but are not linked cost a comparison for each pair.
 
 Scale: equal sets are one node, in each task before the shuffle already. One shingle in ``CLASS`` is
@@ -35,7 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,11 @@ from .simhash import _signed, ball_links, components, majority, shingle_hashes
 
 CLASS = 3
 #: Chains are tried again while the pairs that remain exceed so many times the rows that meet.
-REST = 4
+REST = 2
+#: And while a round leaves less than this part of them.
+KEPT = 0.85
+#: By so many bits the order of fingerprints is turned from chain to chain.
+STEP = 23
 #: So many marks are remembered by a task, to leave out the shingles of copies.
 SEEN = 200_000
 
@@ -118,7 +122,7 @@ class JaccardLinks:
         return docs.select("text").mapInArrow(run, "fp long, shingle long")
 
     def _met(self, rows: DataFrame, nodes: DataFrame, first: Column, late: Column) -> DataFrame:
-        """(shingle, fp, size, place) of the shingles in prefixes that another set has too; place is from 1.
+        """(shingle, fp, size, place, simhash) of the shingles in prefixes that another set has too; place is from 1.
 
         ``rows`` has all shingles of a set, ``first`` in number, that are not late, which come by the number of sets that have them;
         and those late ones that are in the prefix.
@@ -126,12 +130,12 @@ class JaccardLinks:
         n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = rows.repartition(n, "shingle").distinct()
         rows = rows.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("shingle")).cast("int")).where("sets > 1")
-        rows = rows.join(nodes.select(F.col("fp").alias("_node"), "size", "first"), F.col("fp") == F.col("_node"))
+        rows = rows.join(nodes.select(F.col("fp").alias("_node"), "size", "first", "simhash"), F.col("fp") == F.col("_node"))
         own = Window.partitionBy("fp")
         # what a set has to itself comes first and meets nothing, so it only counts
         place = first - F.sum(F.when(late, 0).otherwise(1)).over(own) + F.row_number().over(own.orderBy(late, "sets", "shingle"))
         prefix = F.col("size") - F.ceil(F.col("size") * self.over / self.under) + 1
-        return rows.withColumn("place", place.cast("int")).where(late | (F.col("place") <= prefix)).select("shingle", "fp", "size", "place")
+        return rows.withColumn("place", place.cast("int")).where(late | (F.col("place") <= prefix)).select("shingle", "fp", "size", "place", "simhash")
 
     def links(self, docs: DataFrame, found: DataFrame) -> DataFrame:
         """Links (a, b), a < b, that connect all marks of the written table ``found`` as all similar pairs do."""
@@ -146,24 +150,45 @@ class JaccardLinks:
         met = materialize(self._unlinked(materialize(met, "met"), links), "met-roots")
         k, before = 0, None
         while True:
-            by = Window.partitionBy("shingle").orderBy(F.xxhash64("fp", F.lit(k)), "fp")
-            chain = met.select("fp", "size", "place", "root", *[F.lag(c).over(by).alias(f"_{c}") for c in ("fp", "size", "place", "root")])
-            pairs = self._sifted(self._near(chain), maps)
-            # each set is compared with one of its neighbours, so that sets are not sent around for each pair
-            pairs = materialize(pairs.groupBy(F.col("b").alias("_b")).agg(F.min("a").alias("a")).select("a", F.col("_b").alias("b")), "pairs")
+            rows, left = self._left(met, k)
+            if left <= REST * rows or before is not None and left >= KEPT * before:
+                break  # few remain, or chains link few more
+            before = left
+            orders = [_turned("simhash", 2 * k * STEP), _turned("simhash", (2 * k + 1) * STEP), F.xxhash64("fp", F.lit(k))]
+            chains = reduce(DataFrame.unionByName, [self._chain(met, order) for order in orders])
+            pairs = self._sifted(self._near(chains), maps)
+            if not k:  # at first each set is compared with the likeliest of its neighbours, so that sets are not sent around for each pair
+                pairs = pairs.groupBy("b").agg(F.max(F.struct("spare", "a")).alias("_best")).select("_best.a", "b")
+            pairs = materialize(pairs.select("a", "b"), "pairs")
             new = materialize(self._verified(pairs, docs, found), "chain-links")
             links, k = links.unionByName(new), k + 1
             met = materialize(self._unlinked(met, links), "met-roots")
-            roots = met.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            left = roots.agg(F.sum(F.expr("(n * n - q) / 2")), F.sum("n")).first()
-            if not left[0] or left[0] <= REST * left[1] or before is not None and 2 * left[0] > before:
-                break  # few remain, or chains link few more
-            before = left[0]
         other = met.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("fp", "size", "place", "root")])
         rest = met.join(other, (met.shingle == other.shingle) & (F.col("_fp") < F.col("fp")) & (F.col("_root") != F.col("root")) & self._may())
         pairs = materialize(self._sifted(self._near(rest), maps), "pairs")
         return links.unionByName(self._verified(pairs, docs, found))
 
+    def _chain(self, met: DataFrame, order: Column) -> DataFrame:
+        """``met``, each row beside the last before it on its shingle, in the given order, that is of another component (columns with a _ before)."""
+        by = Window.partitionBy("shingle").orderBy(order, "fp")
+        names = ("fp", "size", "place", "root")
+        chain = met.select("shingle", *names, F.lag(F.struct(*names)).over(by).alias("_before"), order.alias("_order"))
+        other = F.when(F.col("_before.root") != F.col("root"), F.col("_before"))
+        by = Window.partitionBy("shingle").orderBy("_order", "fp").rowsBetween(Window.unboundedPreceding, 0)
+        return chain.withColumn("_other", F.last(other, ignorenulls=True).over(by)).select("shingle", *names, *[F.col(f"_other.{c}").alias(f"_{c}") for c in names])
+
+    def _left(self, met: DataFrame, k: int) -> tuple[int, float]:
+        """The rows of ``met``, and about how many pairs of them meet, can be similar and are not in one component.
+
+        Of the neighbours in a chain of n rows in an order by chance as large a part is such as of all pairs, which are n / 2 times as many.
+        """
+        other = F.col("_fp").isNotNull() & (F.col("root") != F.col("_root")) & self._may()
+        by = Window.partitionBy("shingle").orderBy(F.xxhash64("fp", F.lit(-1 - k)), "fp")
+        chain = met.select("*", *[F.lag(c).over(by).alias(f"_{c}") for c in ("fp", "size", "place", "root")])
+        of = chain.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.count_if(other).alias("c"))
+        rows, left = of.agg(F.sum("n"), F.sum(F.col("n") * F.col("c") / 2)).first()
+        return rows or 0, left or 0.0
+
     def _balls(self, nodes: DataFrame) -> DataFrame:
         """Pairs of rows of the written table ``nodes`` that connect all whose SimHash differs in at most 2 bits: (fp, size, place, root and those with a _ before)."""
         one = nodes.groupBy("simhash").agg(F.min(F.struct("fp", "size")).alias("one"))
@@ -192,12 +217,12 @@ class JaccardLinks:
         return pairs.select(F.least("fp", "_fp").alias("a"), F.greatest("fp", "_fp").alias("b"), most.alias("most")).distinct()
 
     def _sifted(self, pairs: DataFrame, maps: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose maps differ in no more places than their sets may."""
+        """The pairs (a, b) whose maps differ in no more places than their sets may, and in how many less (spare)."""
         a, b = (maps.select(F.col("fp").alias(c), F.col("map").alias(f"_{c}")) for c in "ab")
         n = F.least(F.size("_a"), F.size("_b"))
         folded = [F.when(F.size(c) > n, F.zip_with(F.slice(c, 1, n), F.slice(c, n + 1, n), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c)) for c in ("_a", "_b")]
         differ = F.aggregate(F.zip_with(*folded, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return pairs.join(a, "a").join(b, "b").where(differ <= F.col("most")).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("most") - differ).alias("spare")).where("spare >= 0")
 
     def _verified(self, pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
         """Those of the written pairs (a, b) whose sets are similar; each b's set goes to where a's is."""
@@ -213,9 +238,9 @@ class JaccardLinks:
         """``met`` with the roots of ``links``, without the shingles that meet in one component only."""
         roots = broadcast_if_small(components(links), F.lit(16))
         by = Window.partitionBy("shingle")
-        now = met.drop("root").join(roots, F.col("fp") == F.col("node"), "left").select("shingle", "fp", "size", "place", F.coalesce("root", "fp").alias("root"))
+        now = met.drop("root").join(roots, F.col("fp") == F.col("node"), "left").select("shingle", "fp", "size", "place", "simhash", F.coalesce("root", "fp").alias("root"))
         now = now.withColumn("_more", F.min("root").over(by) != F.max("root").over(by))
-        return now.where("_more").select("shingle", "fp", "size", "place", "root")
+        return now.where("_more").drop("_more")
 
     def _texts(self, docs: DataFrame, found: DataFrame, marks: DataFrame) -> DataFrame:
         """The texts of ``marks``, at least one of each."""
@@ -262,6 +287,12 @@ def _is_late() -> Column:
     return F.pmod(F.pmod("shingle", F.lit(CLASS)) + F.when(F.col("shingle") < 0, F.lit((1 << 64) % CLASS)).otherwise(0), F.lit(CLASS)) != 0
 
 
+def _turned(fingerprint: str, bits: int) -> Column:
+    """The 64 bits of a column, turned left."""
+    by = bits % 64
+    return F.shiftleft(fingerprint, by).bitwiseOR(F.shiftrightunsigned(fingerprint, 64 - by)) if by else F.col(fingerprint)
+
+
 def _mark(shingles: np.ndarray) -> int:
     x = _node(shingles.tobytes())
     return x - (1 << 64) if x >> 63 else x

@@ -1,6 +1,7 @@
 """Terms that disclose entities: where they are counted, and where they are marked."""
 
 from chronoframe.llm import pii
+from chronoframe.llm.common import materialize
 
 
 def filler(i, n=60):
@@ -31,3 +32,13 @@ def test_terms_of_entities_that_occur_once(spark):
             s = texts[i].index(word)
             assert f"term:{s}:{s + len(word)}" in got[i].spans and got[i].n_term == 1
     assert all(got[i].spans == "" for i in got if i >= 40)
+
+
+def test_terms_are_counted_before_they_are_joined(spark):
+    docs = spark.createDataFrame([(1, "abc def"), (2, "abc ghi abc"), (3, None)], "doc_id long, text string")
+    wanted = materialize(spark.createDataFrame([("abc",), ("abc",), ("def",), ("none",)], "term string"), "wanted").distinct()
+    counts = pii._term_counts(docs, wanted)
+    assert {(r.term, r.n_t) for r in counts.collect()} == {("abc", 2), ("def", 1)}
+    plan = counts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join, generate = (next(i for i, line in enumerate(plan) if w in line) for w in ("Join", "Generate"))
+    assert any("count(" in line for line in plan[join:generate])

@@ -104,3 +104,15 @@ def test_stage_links_by_simhash_what_prefixes_would_miss(spark, sf, monkeypatch)
     monkeypatch.setattr(similarity.JaccardLinks, "_met", lambda *a: met(*a).limit(0))
     made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in pipeline.near_duplicates(spark, made, sf).collect()} == expected
+
+
+def test_large_groups_of_near_copies_make_few_pairs(spark, sf, monkeypatch):
+    """Sets that meet and end in one component are linked along chains, and not compared in all pairs."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = [edited(rng, base, 1 + (i % 4 > 0)) for i in range(500)]
+    made, rows = [], similarity.JaccardLinks._near
+    monkeypatch.setattr(similarity.JaccardLinks, "_near", lambda rule, pairs: (made.append(pairs.where("root <> _root").where(rule._may()).count()), rows(rule, pairs))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, sf).collect()} == brute_kept(list(enumerate(texts)))
+    assert made[-1] <= 5_000, made
