@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small, spread, table
+from .common import materialize, scratch, small, spread, table
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 _ROWS = 255  # as many bits can be summed in a byte
@@ -115,8 +115,8 @@ def components(links: DataFrame) -> DataFrame:
 class SimHashLinks:
     """A rule that links texts whose SimHash differs in at most 2 bits.
 
-    A rule has ``mark`` (what stands for a text), ``found`` (doc_id, fp: the marks of all rows) and
-    ``links`` (a, b between marks). ``similarity.JaccardLinks`` is the other one.
+    A rule has ``mark`` (what stands for a text), ``found`` (doc_id, fp: the marks of all rows),
+    ``links`` (a, b between marks) and ``roots`` (their components). ``similarity.JaccardLinks`` is the other one.
     """
 
     words: int = 3
@@ -130,6 +130,9 @@ class SimHashLinks:
     def links(self, docs: DataFrame, found: DataFrame) -> DataFrame:
         return ball_links(found.select("fp").distinct())
 
+    def roots(self, docs: DataFrame, found: DataFrame) -> DataFrame:
+        return components(self.links(docs, found))
+
 
 def _labelled(docs: DataFrame, found: DataFrame, rule) -> DataFrame:
     """(fp, root, component_id) for every distinct mark of a written table (doc_id, fp) of ``docs``.
@@ -137,7 +140,7 @@ def _labelled(docs: DataFrame, found: DataFrame, rule) -> DataFrame:
     root names the component; two of them have one component_id only if that id is repeated.
     """
     nodes = found.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(rule.links(docs, found))
+    roots = rule.roots(docs, found)
     nodes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     nodes = materialize(nodes, "nodes")
     least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -165,7 +168,8 @@ def keep_one(docs: DataFrame, rule=SimHashLinks()) -> DataFrame:  # noqa: B008
     null ids, as one of these.
     """
     found = materialize(rule.found(docs), "fingerprints")
-    labels = materialize(_labelled(docs, found, rule), "labels")
+    with scratch(docs.sparkSession):
+        labels = materialize(_labelled(docs, found, rule), "labels", keep=True)
     ids = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")), "ids")
     once = ids.where("n = 1").join(labels, "fp").where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
     out = docs.join(once, docs["doc_id"] == once["_kept"], "left_semi")

@@ -28,14 +28,15 @@ only sets that meet but are not linked cost a comparison for each pair.
 
 Scale: equal sets are one node, in each task before the shuffle already. One shingle in ``CLASS`` is
 shuffled, and all of the sets that remain; nothing else that is shuffled or written grows with the texts' length but
-the sets that are compared, each once or twice.
+the sets that are compared, each once or twice. What links join is found by rounds over all tasks if they are many (``components``),
+and in one task if they are ``FEW`` or less, as after most chains: rounds write many small files and tell of many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, small
+from .common import broadcast_if_small, materialize, scratch, small
 from .simhash import _signed, ball_links, components, majority, shingle_hashes
 
 CLASS = 3
@@ -53,6 +54,8 @@ REST = 2
 KEPT = 0.85
 #: By so many bits the order of fingerprints is turned from chain to chain.
 STEP = 23
+#: The components of so many links (16 bytes each) are found in one task.
+FEW = 250_000
 #: So many marks are remembered by a task, to leave out the shingles of copies.
 SEEN = 200_000
 
@@ -143,11 +146,12 @@ class JaccardLinks:
         nodes = materialize(nodes, "maps")
         maps = nodes.select("fp", "map")
         pairs = materialize(self._sifted(self._near(self._balls(nodes)), maps), "ball-pairs")
-        links = materialize(self._verified(pairs, docs, found), "ball-links")
+        links = self._verified(pairs, docs, found)
         some = self._met(self._rows(docs, self._tokens), nodes, F.col("first"), _is_late())
         rest = self._texts(docs, found, some.select("fp").distinct())
         met = self._met(self._rows(rest, lambda s: s), nodes, F.col("size"), F.lit(False))
-        met = materialize(self._unlinked(materialize(met, "met"), links), "met-roots")
+        roots = _roots(links)
+        met = materialize(self._unlinked(materialize(met, "met"), roots), "met-roots")
         k, before = 0, None
         while True:
             rows, left = self._left(met, k)
@@ -155,27 +159,32 @@ class JaccardLinks:
                 break  # few remain, or chains link few more
             before = left
             orders = [_turned("simhash", 2 * k * STEP), _turned("simhash", (2 * k + 1) * STEP), F.xxhash64("fp", F.lit(k))]
-            chains = reduce(DataFrame.unionByName, [self._chain(met, order) for order in orders])
-            pairs = self._sifted(self._near(chains), maps)
+            pairs = self._sifted(self._near(self._chains(met, orders)), maps)
             if not k:  # at first each set is compared with the likeliest of its neighbours, so that sets are not sent around for each pair
                 pairs = pairs.groupBy("b").agg(F.max(F.struct("spare", "a")).alias("_best")).select("_best.a", "b")
             pairs = materialize(pairs.select("a", "b"), "pairs")
-            new = materialize(self._verified(pairs, docs, found), "chain-links")
-            links, k = links.unionByName(new), k + 1
-            met = materialize(self._unlinked(met, links), "met-roots")
+            roots, k = _roots(_stars(roots).unionByName(self._verified(pairs, docs, found))), k + 1
+            met = materialize(self._unlinked(met, roots), "met-roots")
         other = met.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("fp", "size", "place", "root")])
         rest = met.join(other, (met.shingle == other.shingle) & (F.col("_fp") < F.col("fp")) & (F.col("_root") != F.col("root")) & self._may())
         pairs = materialize(self._sifted(self._near(rest), maps), "pairs")
-        return links.unionByName(self._verified(pairs, docs, found))
+        return _stars(roots).unionByName(self._verified(pairs, docs, found))
 
-    def _chain(self, met: DataFrame, order: Column) -> DataFrame:
-        """``met``, each row beside the last before it on its shingle, in the given order, that is of another component (columns with a _ before)."""
-        by = Window.partitionBy("shingle").orderBy(order, "fp")
+    def roots(self, docs: DataFrame, found: DataFrame) -> DataFrame:
+        """(node, root) of all marks that are linked, but for the roots themselves: root is the smallest mark reachable."""
+        return _roots(self.links(docs, found))
+
+    def _chains(self, met: DataFrame, orders: list[Column]) -> DataFrame:
+        """``met``, each row beside the last before it on its shingle, in each of the orders, that is of another component (columns with a _ before)."""
         names = ("fp", "size", "place", "root")
-        chain = met.select("shingle", *names, F.lag(F.struct(*names)).over(by).alias("_before"), order.alias("_order"))
-        other = F.when(F.col("_before.root") != F.col("root"), F.col("_before"))
-        by = Window.partitionBy("shingle").orderBy("_order", "fp").rowsBetween(Window.unboundedPreceding, 0)
-        return chain.withColumn("_other", F.last(other, ignorenulls=True).over(by)).select("shingle", *names, *[F.col(f"_other.{c}").alias(f"_{c}") for c in names])
+        for i, order in enumerate(orders):  # in one shuffle
+            met = met.withColumn(f"_order{i}", order)
+            by = Window.partitionBy("shingle").orderBy(f"_order{i}", "fp")
+            met = met.withColumn("_before", F.lag(F.struct(*names)).over(by))
+            other = F.when(F.col("_before.root") != F.col("root"), F.col("_before"))
+            met = met.withColumn(f"_other{i}", F.last(other, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_before", f"_order{i}")
+        met = met.select("shingle", *names, F.explode(F.array(*[f"_other{i}" for i in range(len(orders))])).alias("_other"))
+        return met.select("shingle", *names, *[F.col(f"_other.{c}").alias(f"_{c}") for c in names])
 
     def _left(self, met: DataFrame, k: int) -> tuple[int, float]:
         """The rows of ``met``, and about how many pairs of them meet, can be similar and are not in one component.
@@ -225,18 +234,20 @@ class JaccardLinks:
         return pairs.join(a, "a").join(b, "b").select("a", "b", (F.col("most") - differ).alias("spare")).where("spare >= 0")
 
     def _verified(self, pairs: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
-        """Those of the written pairs (a, b) whose sets are similar; each b's set goes to where a's is."""
-        marks = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        sets = materialize(self._sets(docs, found, marks), "sets")
-        a, b = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
-        a = a.join(pairs.select("a").distinct(), "a", "left_semi")
-        common, both = F.size(F.array_intersect("_a", "_b")), F.size("_a") + F.size("_b")
-        # c / (m + n - c) >= over / under, in whole numbers
-        return pairs.join(b, "b").join(a, "a").where(common * (self.over + self.under) >= both * self.over).select("a", "b")
-
-    def _unlinked(self, met: DataFrame, links: DataFrame) -> DataFrame:
-        """``met`` with the roots of ``links``, without the shingles that meet in one component only."""
-        roots = broadcast_if_small(components(links), F.lit(16))
+        """Those of the written pairs (a, b) whose sets are similar, written; each b's set goes to where a's is."""
+        with scratch(docs.sparkSession):
+            marks = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+            sets = materialize(self._sets(docs, found, marks), "sets")
+            a, b = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"_{c}")) for c in "ab")
+            a = a.join(pairs.select("a").distinct(), "a", "left_semi")
+            common, both = F.size(F.array_intersect("_a", "_b")), F.size("_a") + F.size("_b")
+            # c / (m + n - c) >= over / under, in whole numbers
+            similar = pairs.join(b, "b").join(a, "a").where(common * (self.over + self.under) >= both * self.over)
+            return materialize(similar.select("a", "b"), "similar", keep=True)
+
+    def _unlinked(self, met: DataFrame, roots: DataFrame) -> DataFrame:
+        """``met`` with its roots, without the shingles that meet in one component only."""
+        roots = broadcast_if_small(roots, F.lit(16))
         by = Window.partitionBy("shingle")
         now = met.drop("root").join(roots, F.col("fp") == F.col("node"), "left").select("shingle", "fp", "size", "place", "simhash", F.coalesce("root", "fp").alias("root"))
         now = now.withColumn("_more", F.min("root").over(by) != F.max("root").over(by))
@@ -277,6 +288,37 @@ class _Seen:
         return True
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """``components`` of ``links`` (a, b), written; of ``FEW`` links or less in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        links = np.concatenate([np.empty((2, 0), np.int64), *([c.to_numpy() for c in batch.columns] for batch in batches)], axis=1)
+        nodes, roots = forest(*links)
+        yield pa.RecordBatch.from_arrays([pa.array(x[nodes != roots]) for x in (nodes, roots)], ["node", "root"])
+
+    with scratch(links.sparkSession):
+        links = materialize(links, "links")
+        few = links.count() <= FEW
+        return materialize(links.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long") if few else components(links), "roots", keep=True)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links a to b, and the smallest node that each reaches."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while not np.array_equal(x := root[a], y := root[b]):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(above := root[root], root):
+            root = above
+    return nodes, nodes[root]
+
+
+def _stars(roots: DataFrame) -> DataFrame:
+    """Links (a, b) of the nodes to their roots."""
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b"))
+
+
 def _head(s: np.ndarray) -> np.ndarray:
     """The shingles of the first class."""
     return s[s % _CLASS == 0]

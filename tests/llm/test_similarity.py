@@ -1,11 +1,13 @@
 """The near-duplicate stage against brute-force Jaccard similarity of five-word shingles."""
 
 import random
+import time
+from pathlib import Path
 
 import pytest
 
 from chronoframe.llm import similarity
-from chronoframe.llm.common import table
+from chronoframe.llm.common import materialize, scratch, shared_dir, table
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -116,3 +118,50 @@ def test_large_groups_of_near_copies_make_few_pairs(spark, sf, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in pipeline.near_duplicates(spark, docs, sf).collect()} == brute_kept(list(enumerate(texts)))
     assert made[-1] <= 5_000, made
+
+
+@pytest.mark.parametrize("few", [similarity.FEW, 0])
+def test_components_are_the_same_in_one_task_and_by_rounds(spark, monkeypatch, few):
+    rng = random.Random(9)
+    monkeypatch.setattr(similarity, "FEW", few)
+    path = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(200)]
+    some = [sorted(rng.sample(path[100:], 2)) for _ in range(60)] + [sorted(x) for x in zip(path[:100], path[1:100], strict=False)]
+    for pairs in (some, []):
+        links = spark.createDataFrame([tuple(x) for x in pairs], "a long, b long")
+        got = {r.node: r.root for r in similarity._roots(links).collect()}
+        assert got == {n: c[0] for c in joined({x for p in pairs for x in p}, pairs) for n in c[1:]}
+
+
+def names(folder):
+    return {p.name.rpartition("-")[0]: p for p in folder.iterdir()}
+
+
+def test_stage_leaves_few_tables(spark, sf, monkeypatch):
+    """Rounds must not fill the disk: what they write goes when it is read."""
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    docs = spark.createDataFrame([(i, edited(rng, base, 1 + i % 4)) for i in range(60)], "doc_id long, text string")
+    monkeypatch.setattr(similarity, "REST", -1)
+    there = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(there.iterdir())
+    pipeline.near_duplicates(spark, docs, sf)
+    assert {p.name.rpartition("-")[0] for p in set(there.iterdir()) - before} == {"fingerprints", "labels", "ids"}
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    there = Path(shared_dir(spark).removeprefix("file://"))
+    blocks = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    shuffles = set(blocks.rglob("shuffle_*.data"))
+    with scratch(spark):
+        with scratch(spark):
+            materialize(spark.range(9), "scratch_inner")
+            kept = materialize(spark.range(9).repartition(3, "id"), "scratch_kept", keep=True)
+        assert "scratch_inner" not in names(there) and kept.count() == 9
+        last = materialize(kept.groupBy("id").count(), "scratch_last", keep=True)
+    assert "scratch_kept" not in names(there) and last.count() == 9
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    ours, deadline = set(blocks.rglob("shuffle_*.data")) - shuffles, time.time() + 20
+    while len(ours) > 4 and time.time() < deadline:  # they go in the background; the counts outside may have theirs
+        time.sleep(0.2)
+        ours = set(blocks.rglob("shuffle_*.data")) - shuffles
+    assert len(ours) <= 4
