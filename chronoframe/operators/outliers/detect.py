@@ -2,23 +2,25 @@
 
 The fenced methods that need only moments or exact quantiles also come as plain
 aggregations joined to the samples, which never hold a whole series in a worker; methods that
-recur over a series, or rank it again and again, take each series as one Arrow batch.
+recur over a series, or rank it again and again, take blocks of whole series, those of one length together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions.numeric import ok
 from ...plans.query import RangeQuery
+from ..folds import firsts, in_order, whole_series
 from ..ranges import BY, scan
 from .detectors import METHODS
+from .many import many
 from .seasonality import adjusted
 
 MIN_SAMPLES = 3
@@ -42,19 +44,24 @@ def outliers(samples: DataFrame, query: RangeQuery, method: str = "zscore", dire
     seasonality (periods, or auto) the detector sees the remainder. Series of fewer
     than three samples have no result.
     """
-    detect = METHODS[method]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        if len(rows) < MIN_SAMPLES:
-            return rows.iloc[:0].assign(score=pd.Series(dtype=float), signal=pd.Series(dtype=int))
-        x = rows["value"].to_numpy(float)
-        scores, signs = detect(adjusted(x, seasonality) if seasonality else x, **options)
-        return rows.assign(score=scores, signal=signs.astype(np.int32))
+    if method not in METHODS:
+        raise KeyError(method)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_series(batches):
+            starts, x = firsts(rows), rows.column("value").to_numpy().astype(float)
+            lengths = np.diff(np.append(starts, len(x)))
+            scores, signs = np.zeros(len(x)), np.zeros(len(x), np.int32)
+            for n in np.unique(lengths[lengths >= MIN_SAMPLES]).tolist():
+                at = starts[lengths == n][:, None] + np.arange(n)
+                values = np.array([adjusted(v, seasonality) for v in x[at]]) if seasonality else x[at]
+                scores[at], signs[at] = many(method, values, **options)
+            rows = rows.drop_columns(["_first"]).append_column("score", pa.array(scores)).append_column("signal", pa.array(signs))
+            yield from rows.filter(pa.array(np.repeat(lengths >= MIN_SAMPLES, lengths))).to_batches()
 
     found = scan(samples, query, by)
     schema = T.StructType([*found.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("signal", T.IntegerType())])
-    return _output(found.groupBy(*by).applyInPandas(run, schema), direction, output)
+    return _output(in_order(found, by, "ts").mapInArrow(run, schema), direction, output)
 
 
 def fenced_outliers(samples: DataFrame, query: RangeQuery, method: str = "zscore", threshold: float | None = None, direction: str = "both", output: str = "full", by: Sequence[str] = BY) -> DataFrame:
