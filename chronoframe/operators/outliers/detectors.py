@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
@@ -136,6 +137,13 @@ def _location_scale(x: np.ndarray, hybrid: bool) -> tuple[float, float]:
     return float(x.mean()), float(x.std(ddof=1))
 
 
+@lru_cache(1 << 16)
+def esd_limit(alpha: float, m: int) -> float:
+    """What the most extreme of m values may reach."""
+    t = student_quantile(1 - alpha / (2 * m), m - 2)
+    return (m - 1) * t / math.sqrt(m * m - 2 * m + m * t * t)
+
+
 def esd(x: np.ndarray, alpha: float = 0.05, hybrid: bool = True, max_outliers: int | None = None) -> Result:
     """Rosner's generalised test: removes the most extreme value up to n/2 times, then steps back to the last rejection."""
     n = len(x)
@@ -151,8 +159,7 @@ def esd(x: np.ndarray, alpha: float = 0.05, hybrid: bool = True, max_outliers: i
         far = np.abs(x[active] - center)
         i = active[m - 1 - int(np.argmax(far[::-1]))]
         stat = float(far.max()) / scale if scale > 0 else 0.0
-        t = student_quantile(1 - alpha / (2 * m), m - 2)
-        limit = (m - 1) * t / math.sqrt(m * m - 2 * m + m * t * t)
+        limit = esd_limit(alpha, m)
         tried.append((i, stat, limit, 1 if x[i] > center else -1))
         active = active[active != i]
     k = max((j + 1 for j, c in enumerate(tried) if c[1] > c[2]), default=0)

@@ -117,3 +117,69 @@ def random_cut_forest(x: np.ndarray, trees: int = 100, sample: int = 256, shingl
 
 
 MATRICES["rcf"] = random_cut_forest
+
+
+def _nearest(v: np.ndarray, low: np.ndarray, m: int, center: np.ndarray, k: int) -> np.ndarray:
+    """The k-th smallest distance from the center among m values from ``low`` on: the k nearest are neighbours in a sorted row."""
+    row = np.arange(len(v))
+    left, right = low.copy(), low + (m - k)
+    for _ in range((m - k).bit_length()):  # to the first place whose right end is no nearer than its left
+        mid = (left + right) // 2
+        far = v[row, mid + k - 1] - center >= center - v[row, mid]
+        left, right = np.where(far | (left >= right), left, mid + 1), np.where(far, mid, right)
+    reach = lambda s: np.maximum(center - v[row, s], v[row, s + k - 1] - center)
+    return np.where(left > low, np.minimum(reach(left), reach(np.maximum(left - 1, low))), reach(left))
+
+
+def _hybrid(v: np.ndarray, low: np.ndarray, m: int) -> Result:
+    """Median and scaled median deviation of m values from ``low`` on in sorted rows."""
+    row, h = np.arange(len(v)), (m - 1) * 0.5 + 1
+    j = int(h)
+    first, second = v[row, low + j - 1], v[row, low + min(j, m - 1)]
+    center = first + (h - j) * (second - first)
+    near = _nearest(v, low, m, center, j)
+    return center, 1.4826 * (near + (h - j) * (_nearest(v, low, m, center, min(j + 1, m)) - near) if h > j else near)
+
+
+def esd(x: np.ndarray, alpha: float = 0.05, hybrid: bool = True, max_outliers: int | None = None) -> tuple[np.ndarray, ...] | None:
+    """What remains is a run of the sorted values, so each round looks only at its ends and searches for the median deviation."""
+    rows, n = x.shape
+    if not hybrid or not 0 < alpha < 1 or (max_outliers is not None and max_outliers >= n / 2):
+        return None
+    rounds = min(n // 2 if max_outliers is None else max_outliers, n - 2)
+    high_order = np.argsort(x, 1, kind="stable")
+    low_order = n - 1 - np.argsort(x[:, ::-1], 1, kind="stable")  # of equal values the last goes first, from either end
+    v, row = np.take_along_axis(x, high_order, 1), np.arange(rows)
+    low, odd = np.zeros(rows, int), np.zeros(rows, bool)
+    scores, signs, left = np.zeros(x.shape), np.zeros(x.shape, int), np.ones(x.shape, bool)
+    which, sides = np.zeros((rounds, rows), int), np.zeros((rounds, rows), int)
+    stats, limits = np.zeros((rounds, rows)), np.zeros(rounds)
+    for k in range(rounds):
+        m = n - k
+        center, scale = _hybrid(v, low, m)
+        last = low + m - 1
+        below, above = np.abs(v[row, low] - center), np.abs(v[row, last] - center)
+        at_low, at_high = low_order[row, low], high_order[row, last]
+        down = (below > above) | ((below == above) & (at_low > at_high))
+        far = np.maximum(below, above)
+        # different values that are as far, by rounding, could go out of order
+        odd |= (scale > 0) & (((below == far) & (v[row, low + 1] != v[row, low]) & (np.abs(v[row, low + 1] - center) == far)) | ((above == far) & (v[row, last - 1] != v[row, last]) & (np.abs(v[row, last - 1] - center) == far)))
+        stats[k] = np.divide(far, scale, out=np.zeros(rows), where=scale > 0)
+        limits[k] = D.esd_limit(alpha, m)
+        which[k], sides[k] = np.where(down, at_low, at_high), np.where(np.where(down, v[row, low], v[row, last]) > center, 1, -1)
+        left[row[scale > 0], which[k][scale > 0]] = False  # once it is 0, no later value is rejected or scores
+        low = low + down
+    over = stats > limits[:, None]
+    kept = np.where(over.any(0), rounds - np.argmax(over[::-1], 0), 0) if rounds else np.zeros(rows, int)
+    for k in range(rounds):
+        r = np.flatnonzero(stats[k] > 0)
+        flagged, at = k < kept[r], kept[r] - 1
+        scores[r, which[k, r]] = D.score(np.where(flagged, np.maximum(stats[k, r], stats[at, r]), stats[k, r]), np.where(flagged, limits[at], limits[k]))
+        signs[r, which[k, r]] = np.where(flagged, sides[k, r], 0)
+    center, scale = _hybrid(v, low, n - rounds)
+    stats = np.divide(np.abs(x - center[:, None]), scale[:, None], out=np.zeros(x.shape), where=(scale[:, None] > 0) & left)
+    rest = D.score(stats, np.maximum(limits[-1] if rounds else 0.0, stats.max(1))[:, None])
+    return np.where(left, rest, scores), signs, odd
+
+
+MATRICES["esd"] = esd

@@ -10,7 +10,7 @@ from chronoframe.operators.outliers import many as M
 from chronoframe.queries import QUERIES
 
 RNG = np.random.default_rng(5)
-PLANS = ["outliers_rcf"]
+PLANS = ["outliers_rcf", "outliers_esd"]
 
 
 def blocks():
@@ -59,3 +59,9 @@ def test_blocks_hold_whole_series(block):
 def test_rcf():
     for x in blocks():
         same("rcf", np.where(np.isinf(x), 3.0, x), trees=7)
+
+
+def test_esd():
+    check("esd", {}, {"max_outliers": 1}, {"hybrid": False})
+    for x in (RNG.standard_cauchy((9, 101)).round(1), RNG.integers(0, 9, (9, 200)).astype(float)):
+        same("esd", x)
