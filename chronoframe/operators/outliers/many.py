@@ -11,6 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 from . import detectors as D
+from .quantiles import ESTIMATORS
 
 Result = tuple[np.ndarray, np.ndarray]
 #: Values beyond this are left to the detectors on single series, which mind overflows.
@@ -19,6 +20,8 @@ HUGE = 1e100
 FEW = 8
 #: Values by trees that a forest steps through at once.
 LANES = 400_000
+#: Estimators made of medians.
+SHARED = ("invariant", "simple")
 
 #: Detectors on matrices: (scores, signs, and perhaps rows that must go one by one), or None if their options rule that out.
 MATRICES = {}
@@ -183,3 +186,24 @@ def esd(x: np.ndarray, alpha: float = 0.05, hybrid: bool = True, max_outliers: i
 
 
 MATRICES["esd"] = esd
+
+
+def double_mad(x: np.ndarray, k: float = 3.0, estimator: str = "invariant") -> Result | None:
+    if estimator not in SHARED:
+        return None
+    v, n, row = np.sort(x, 1), x.shape[1], np.arange(len(x))
+    center, factor = _middle(v), ESTIMATORS[estimator][1](n)
+
+    def spread(count: np.ndarray, place) -> np.ndarray:
+        """The median distance of ``count`` values on one side; ``place`` of the i-th nearest to the center."""
+        h = (count - 1) * 0.5 + 1
+        j = h.astype(int)
+        first, second = (np.abs(v[row, place(i)] - center) for i in (j - 1, np.minimum(j, count - 1)))
+        return factor * (first + (h - j) * (second - first))
+
+    below, above = (v <= center[:, None]).sum(1), (v >= center[:, None]).sum(1)
+    low, high = center - k * spread(below, lambda i: below - 1 - i), center + k * spread(above, lambda i: n - above + i)
+    return D._fenced(x, center[:, None], low[:, None], high[:, None])
+
+
+MATRICES["double-mad"] = double_mad

@@ -10,7 +10,7 @@ from chronoframe.operators.outliers import many as M
 from chronoframe.queries import QUERIES
 
 RNG = np.random.default_rng(5)
-PLANS = ["outliers_rcf", "outliers_esd"]
+PLANS = ["outliers_rcf", "outliers_esd", "outliers_double_mad_batch"]
 
 
 def blocks():
@@ -65,3 +65,7 @@ def test_esd():
     check("esd", {}, {"max_outliers": 1}, {"hybrid": False})
     for x in (RNG.standard_cauchy((9, 101)).round(1), RNG.integers(0, 9, (9, 200)).astype(float)):
         same("esd", x)
+
+
+def test_double_mad():
+    check("double-mad", {}, {"estimator": "simple"})
