@@ -207,3 +207,25 @@ def double_mad(x: np.ndarray, k: float = 3.0, estimator: str = "invariant") -> R
 
 
 MATRICES["double-mad"] = double_mad
+
+
+def _baseline(x: np.ndarray) -> Result:
+    first = np.ascontiguousarray(x[:, : min(x.shape[1] // 2, 100)])
+    return first.mean(1), first.std(1, ddof=1) if first.shape[1] > 1 else np.zeros(len(x))
+
+
+def ewma(x: np.ndarray, alpha: float = 0.3, multiplier: float = 3.0) -> Result:
+    target, sigma = _baseline(x)
+    level, levels = target, np.zeros(x.shape)
+    for i, v in enumerate(np.ascontiguousarray(x.T)):
+        level = alpha * v + (1 - alpha) * level
+        levels[:, i] = level
+    steps = np.arange(1, x.shape[1] + 1)
+    limit = multiplier * np.sqrt((sigma * sigma * alpha / (2 - alpha))[:, None] * (1 - (1 - alpha) ** (2 * steps)))
+    limit = np.where(limit <= D.EPSILON, np.nan, limit)
+    d = levels - target[:, None]
+    return D.score(np.abs(d), limit), np.where(np.abs(d) > limit, np.sign(d), 0).astype(int)
+
+
+MATRICES["ewma"] = ewma
+RECURSIONS.add("ewma")

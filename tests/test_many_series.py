@@ -10,7 +10,7 @@ from chronoframe.operators.outliers import many as M
 from chronoframe.queries import QUERIES
 
 RNG = np.random.default_rng(5)
-PLANS = ["outliers_rcf", "outliers_esd", "outliers_double_mad_batch"]
+PLANS = ["outliers_rcf", "outliers_esd", "outliers_double_mad_batch", "outliers_ewma"]
 
 
 def blocks():
@@ -69,3 +69,7 @@ def test_esd():
 
 def test_double_mad():
     check("double-mad", {}, {"estimator": "simple"})
+
+
+def test_ewma():
+    check("ewma")
