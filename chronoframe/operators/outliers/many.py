@@ -229,3 +229,24 @@ def ewma(x: np.ndarray, alpha: float = 0.3, multiplier: float = 3.0) -> Result:
 
 MATRICES["ewma"] = ewma
 RECURSIONS.add("ewma")
+
+
+def smoothed_zscore(x: np.ndarray, threshold: float = 3.5, influence: float = 0.0, lag: int = 10) -> Result | None:
+    n = x.shape[1]
+    if lag < 1 or lag >= n or not 0 <= influence <= 1 or not (np.isfinite(threshold) and threshold >= 0):
+        return None
+    scores, signs = np.zeros(x.shape), np.zeros(x.shape, int)
+    window = x[:, :lag].copy()
+    before = window[:, -1]
+    for i in range(lag, n):
+        v, mean, reach = x[:, i], window.mean(1), threshold * window.std(1)
+        d = np.abs(v - mean)
+        scores[:, i] = D.score(d, reach)
+        signs[:, i] = np.where(d > reach, np.where(v > mean, 1, -1), 0)
+        before = np.where(d > reach, influence * v + (1 - influence) * before, v)
+        window[:, (i - lag) % lag] = before
+    return scores, signs
+
+
+MATRICES["smoothed-zscore"] = smoothed_zscore
+RECURSIONS.add("smoothed-zscore")

@@ -10,7 +10,7 @@ from chronoframe.operators.outliers import many as M
 from chronoframe.queries import QUERIES
 
 RNG = np.random.default_rng(5)
-PLANS = ["outliers_rcf", "outliers_esd", "outliers_double_mad_batch", "outliers_ewma"]
+PLANS = ["outliers_rcf", "outliers_esd", "outliers_double_mad_batch", "outliers_ewma", "outliers_smoothed_zscore"]
 
 
 def blocks():
@@ -73,3 +73,7 @@ def test_double_mad():
 
 def test_ewma():
     check("ewma")
+
+
+def test_smoothed_zscore():
+    check("smoothed-zscore", {}, {"lag": 3, "influence": 0.5})
