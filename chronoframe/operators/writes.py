@@ -6,15 +6,16 @@ DataFrames; storing them is the caller's (see ``sources.tables``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import nan, round_decimals, round_significant
 from ..plans.query import RangeQuery
 from ..plans.selectors import selector_column
+from .folds import in_order
 from .ranges import BY, in_window
 
 POLICIES = ("block", "first", "last", "min", "max", "sum")
@@ -77,22 +78,23 @@ def drop_repeats(incoming: DataFrame, ignore_ms: int, ignore_value: float, by: S
     """Drops samples that follow the last kept one within both tolerances (policy last). NaN is always kept.
 
     What is dropped depends on the last sample that was kept, so each key is folded in order;
-    the fold reads a key's rows in one pass.
+    rows stream through the fold, key after key, and none but the last kept is held.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("arrival", kind="stable")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_ts = last_value = None
-        keep = []
-        for ts, value in zip(rows["ts"].tolist(), rows["value"].tolist(), strict=True):
-            gap = None if last_ts is None else ts - last_ts
-            drop = gap is not None and 0 <= gap <= ignore_ms and abs(value - last_value) <= ignore_value
-            keep.append(not drop)
-            if not drop and (gap is None or gap >= 0):
-                last_ts, last_value = ts, value
-        return rows[keep]
-
-    return incoming.groupBy(*by).applyInPandas(fold, incoming.schema)
+        for rows in batches:
+            keep = []
+            for first, ts, value in zip(*(rows.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("_first", "ts", "value")), strict=True):
+                gap = None if first or last_ts is None else ts - last_ts
+                drop = gap is not None and 0 <= gap <= ignore_ms and abs(value - last_value) <= ignore_value
+                keep.append(not drop)
+                if not drop and (gap is None or gap >= 0):
+                    last_ts, last_value = ts, value
+            yield rows.select(names).filter(pa.array(keep, pa.bool_()))
+
+    names = incoming.columns
+    return in_order(incoming, by, "arrival").mapInArrow(fold, incoming.schema)
 
 
 def increments(stored: DataFrame, deltas: DataFrame, by: Sequence[str] = BY) -> DataFrame:

@@ -7,10 +7,11 @@ import pytest
 from chronoframe.operators.folds import firsts, whole_series
 from chronoframe.operators.outliers import detectors as D
 from chronoframe.operators.outliers import many as M
+from chronoframe.operators.writes import drop_repeats
 from chronoframe.queries import QUERIES
 
 RNG = np.random.default_rng(5)
-PLANS = ["outliers_rcf", "outliers_esd", "outliers_double_mad_batch", "outliers_ewma", "outliers_smoothed_zscore"]
+PLANS = ["outliers_rcf", "outliers_esd", "outliers_double_mad_batch", "outliers_ewma", "outliers_smoothed_zscore", "ignore_repeats"]
 
 
 def blocks():
@@ -77,3 +78,14 @@ def test_ewma():
 
 def test_smoothed_zscore():
     check("smoothed-zscore", {}, {"lag": 3, "influence": 0.5})
+
+
+def test_repeats_of_a_long_series(spark):
+    rows = [(k, t, float(RNG.integers(0, 4)) if t % 50 else float("nan"), t) for k, n in (("a", 25_000), (None, 30), ("b", 30)) for t in range(n)]
+    df = spark.createDataFrame(rows, "key string, ts long, value double, arrival long").repartition(7, "value")
+    expected, last = [], {}
+    for k, ts, value, _ in rows:
+        if k not in last or not (ts - last[k][0] <= 5 and abs(value - last[k][1]) <= 1):
+            last[k] = ts, value
+            expected.append((str(k), ts))
+    assert sorted((str(r.key), r.ts) for r in drop_repeats(df, 5, 1.0).collect()) == sorted(expected)
