@@ -250,3 +250,26 @@ def smoothed_zscore(x: np.ndarray, threshold: float = 3.5, influence: float = 0.
 
 MATRICES["smoothed-zscore"] = smoothed_zscore
 RECURSIONS.add("smoothed-zscore")
+
+
+def _mad(v: np.ndarray, center: np.ndarray, estimator: str) -> np.ndarray:
+    return ESTIMATORS[estimator][1](v.shape[1]) * _middle(np.sort(np.abs(v - center[:, None]), 1))
+
+
+def mad_fences(x: np.ndarray, k: float = 3.0, estimator: str = "invariant") -> Result | None:
+    if estimator not in SHARED:
+        return None
+    v = np.sort(x, 1)
+    center = _middle(v)
+    reach = k * _mad(v, center, estimator)
+    return D._fenced(x, center[:, None], (center - reach)[:, None], (center + reach)[:, None])
+
+
+def modified_zscore(x: np.ndarray, threshold: float = 3.5) -> Result:
+    v = np.sort(x, 1)
+    center = _middle(v)
+    reach = threshold * _mad(v, center, "invariant") / 0.6745
+    return D._fenced(x, center[:, None], (center - reach)[:, None], (center + reach)[:, None])
+
+
+MATRICES |= {"mad": mad_fences, "modified-zscore": modified_zscore}

@@ -11,7 +11,7 @@ from chronoframe.operators.writes import drop_repeats
 from chronoframe.queries import QUERIES
 
 RNG = np.random.default_rng(5)
-PLANS = ["outliers_rcf", "outliers_esd", "outliers_double_mad_batch", "outliers_ewma", "outliers_smoothed_zscore", "ignore_repeats"]
+PLANS = ["outliers_rcf", "outliers_esd", "outliers_double_mad_batch", "outliers_ewma", "outliers_smoothed_zscore", "ignore_repeats", "outliers_mad_cleaned"]
 
 
 def blocks():
@@ -89,3 +89,8 @@ def test_repeats_of_a_long_series(spark):
             last[k] = ts, value
             expected.append((str(k), ts))
     assert sorted((str(r.key), r.ts) for r in drop_repeats(df, 5, 1.0).collect()) == sorted(expected)
+
+
+def test_mad():
+    check("mad", {}, {"estimator": "simple"}, {"estimator": "harrell-davis"})
+    check("modified-zscore")
