@@ -273,3 +273,19 @@ def modified_zscore(x: np.ndarray, threshold: float = 3.5) -> Result:
 
 
 MATRICES |= {"mad": mad_fences, "modified-zscore": modified_zscore}
+
+
+def cusum(x: np.ndarray, k: float = 0.5, h: float = 5.0) -> Result:
+    target, std = _baseline(x)
+    usable = std > D.EPSILON
+    up, down = np.zeros(x.shape), np.zeros(x.shape)
+    a = b = np.zeros(len(x))
+    for i, d in enumerate(np.ascontiguousarray(((x - target[:, None]) / np.where(usable, std, 1.0)[:, None]).T)):
+        a, b = np.maximum(0.0, a + d - k), np.maximum(0.0, b - d - k)
+        up[:, i], down[:, i] = a, b
+    u = usable[:, None]
+    return np.where(u, D.score(np.maximum(up, down), h), 0.0), np.where(u & (up > h), 1, np.where(u & (down > h), -1, 0))
+
+
+MATRICES["cusum"] = cusum
+RECURSIONS.add("cusum")

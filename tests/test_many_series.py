@@ -11,7 +11,7 @@ from chronoframe.operators.writes import drop_repeats
 from chronoframe.queries import QUERIES
 
 RNG = np.random.default_rng(5)
-PLANS = ["outliers_rcf", "outliers_esd", "outliers_double_mad_batch", "outliers_ewma", "outliers_smoothed_zscore", "ignore_repeats", "outliers_mad_cleaned"]
+PLANS = ["outliers_rcf", "outliers_esd", "outliers_double_mad_batch", "outliers_ewma", "outliers_smoothed_zscore", "ignore_repeats", "outliers_mad_cleaned", "outliers_cusum"]
 
 
 def blocks():
@@ -94,3 +94,7 @@ def test_repeats_of_a_long_series(spark):
 def test_mad():
     check("mad", {}, {"estimator": "simple"}, {"estimator": "harrell-davis"})
     check("modified-zscore")
+
+
+def test_cusum():
+    check("cusum")
